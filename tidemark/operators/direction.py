@@ -39,21 +39,6 @@ def per_stock_baseline(panel: DataFrame, step: int = 5, min_train: int = 120) ->
         "ticker", "date", baseline_probability().alias("prob_up"), F.col("label").alias("actual"))
 
 
-def _ridge_logit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Coefficients (intercept last) minimising log-loss + |w|^2 / 2, by Newton steps."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.append(np.ones(x.shape[1]), 0.0)
-    w = np.zeros(a.shape[1])
-    for _ in range(50):
-        p = 1.0 / (1.0 + np.exp(-np.clip(a @ w, -35, 35)))
-        grad = a.T @ (p - y) + penalty * w
-        step = np.linalg.solve((a.T * (p * (1 - p))) @ a + np.diag(penalty + 1e-12), grad)
-        w -= step
-        if np.abs(step).max() < 1e-10:
-            break
-    return w
-
-
 def per_stock_logistic(panel: DataFrame, horizon: int = 5, train: int = 252, step: int = 5,
                        min_train: int = 120) -> DataFrame:
     """Walk-forward logistic forecasts of each stock from its own history.
@@ -65,6 +50,20 @@ def per_stock_logistic(panel: DataFrame, horizon: int = 5, train: int = 252, ste
     out = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("date", T.DateType()),
                         T.StructField("prob_up", T.DoubleType()), T.StructField("actual", T.IntegerType())])
 
+    def ridge_logit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Coefficients (intercept last) minimising log-loss + |w|^2 / 2, by Newton steps."""
+        a = np.hstack([x, np.ones((len(x), 1))])
+        penalty = np.append(np.ones(x.shape[1]), 0.0)
+        w = np.zeros(a.shape[1])
+        for _ in range(50):
+            p = 1.0 / (1.0 + np.exp(-np.clip(a @ w, -35, 35)))
+            hessian = (a.T * (p * (1 - p))) @ a + np.diag(penalty + 1e-12)
+            move = np.linalg.solve(hessian, a.T @ (p - y) + penalty * w)
+            w -= move
+            if np.abs(move).max() < 1e-10:
+                break
+        return w
+
     def forecasts(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         x, y = pdf[names].to_numpy("float64"), pdf["label"].to_numpy("float64")
@@ -80,7 +79,7 @@ def per_stock_logistic(panel: DataFrame, horizon: int = 5, train: int = 252, ste
             else:
                 mean, std = xs.mean(axis=0), xs.std(axis=0)
                 std[std == 0] = 1.0
-                w = _ridge_logit((xs - mean) / std, ys)
+                w = ridge_logit((xs - mean) / std, ys)
                 prob = 1.0 / (1.0 + math.exp(-float(((x[i] - mean) / std) @ w[:-1] + w[-1])))
             got.append((pdf["ticker"].iat[0], pdf["date"].iat[i], prob, int(y[i])))
         return pd.DataFrame(got, columns=["ticker", "date", "prob_up", "actual"])

@@ -1,7 +1,7 @@
 """The driver's warehouse tables seen as market data (bars, statements, sectors, ticks, news).
 
 Every view is a distributed aggregation of the given tables. A ticker is a supplier; its daily
-price is a walk whose step is an exact integer, and prices are kept to four decimals so that
+price is a walk whose step is an exact integer, and prices are kept to three decimals so that
 equal prices are equal bit for bit in any engine.
 """
 
@@ -29,9 +29,9 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .select("l_suppkey", F.to_date("l_shipdate").alias("date"),
                 (F.round(F.col("l_discount") * 100).cast("int") - 5).alias("step"),
-                F.col("l_quantity").cast("bigint").alias("quantity"), "l_tax")
+                F.col("l_quantity").cast("bigint").alias("quantity"), F.round(F.col("l_tax") * 100).cast("bigint").alias("tax"))
         .groupBy("l_suppkey", "date")
-        .agg(F.sum("step").alias("step"), F.sum("quantity").alias("volume"), F.max("l_tax").alias("spread"))
+        .agg(F.sum("step").alias("step"), F.sum("quantity").alias("volume"), F.max("tax").alias("spread"))
         .withColumn("ticker", _ticker(F.col("l_suppkey")))
     )
     w = Window.partitionBy("ticker").orderBy("date")
@@ -39,15 +39,18 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = (
         daily
         .withColumn("walk", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("close", F.round(100 * F.exp(0.006 * F.col("walk")), 4))
+        .withColumn("close", F.round(100 * F.exp(0.006 * F.col("walk")), 3))
         .withColumn("open", F.coalesce(F.lag("close").over(w), F.col("close")))
     )
+    # A quarter of the tax rate above and below, in whole thousandths.
+    priced = (priced.withColumn("_top", F.round(F.greatest("open", "close") * 1000).cast("bigint"))
+              .withColumn("_bottom", F.round(F.least("open", "close") * 1000).cast("bigint")))
     return priced.select(
         "ticker", "date", "open",
-        F.round(F.greatest("open", "close") * (1 + 0.25 * F.col("spread")), 4).alias("high"),
-        F.round(F.least("open", "close") * (1 - 0.25 * F.col("spread")), 4).alias("low"),
+        (F.expr("_top * (400 + spread) div 400") / 1000.0).alias("high"),
+        (F.expr("_bottom * (400 - spread) div 400") / 1000.0).alias("low"),
         "close",
-        F.round(F.col("close") * F.pow(F.lit(0.98), age), 4).alias("adj_close"),
+        F.round(F.col("close") * F.pow(F.lit(0.98), age), 3).alias("adj_close"),
         "volume",
         F.lit(0.0).alias("dividends"), F.lit(0.0).alias("stock_splits"),
     )
