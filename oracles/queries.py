@@ -509,12 +509,13 @@ oracle("classifier_scores", "SELECT ticker, avg(signed) AS sentiment, count(*) A
 
 # ---- streams: the batch answer, less what the watermark still holds open at the end ----
 oracle("stream_bars", """
-    SELECT ticker, time_bucket(INTERVAL 5 MINUTES, ts) AS bar_start,
+    SELECT * FROM (SELECT ticker, time_bucket(INTERVAL 5 MINUTES, ts) AS bar_start,
            time_bucket(INTERVAL 5 MINUTES, ts) + INTERVAL 5 MINUTES AS bar_end,
            arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
            arg_max(value, (ts, event_id)) AS close, count(*) AS n_ticks
     FROM (SELECT concat('U', user_id) AS ticker, * FROM events WHERE value IS NOT NULL)
-    GROUP BY ALL HAVING bar_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""", "", "open high low close")
+    GROUP BY ticker, time_bucket(INTERVAL 5 MINUTES, ts))
+    WHERE bar_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""", "", "open high low close")
 oracle("stream_sentiment", """
     SELECT ticker, as_of, avg(signed) AS sentiment, count(*) AS n_headlines FROM heads, (
       SELECT CAST(unnest(generate_series(DATE '1999-12-01', DATE '2000-03-31', INTERVAL 1 DAY)) AS DATE) AS as_of)

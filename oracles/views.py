@@ -484,8 +484,8 @@ view("reliab", """
 view("heads", """
     SELECT concat('S', user_id % (SELECT count(*) FROM supplier)) AS ticker, ts - INTERVAL 24 YEARS AS published_at,
            event_type AS text, props AS url, event_id AS seq,
-           CASE event_type WHEN 'purchase' THEN 0.85::DOUBLE WHEN 'signup' THEN 0.85::DOUBLE
-                WHEN 'error' THEN -0.85::DOUBLE ELSE 0.0::DOUBLE END AS signed FROM events""")
+           CASE event_type WHEN 'purchase' THEN 0.75::DOUBLE WHEN 'signup' THEN 0.75::DOUBLE
+                WHEN 'error' THEN -0.75::DOUBLE ELSE 0.0::DOUBLE END AS signed FROM events""")
 view("senti", """
     SELECT rebalance_date, ticker, avg(signed) AS sentiment FROM heads JOIN calendar
     ON published_at <= rebalance_date AND published_at > rebalance_date - INTERVAL 40 DAYS GROUP BY ALL""",

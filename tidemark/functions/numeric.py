@@ -17,7 +17,8 @@ def safe_div(num, den) -> Column:
 
 
 def to_number(c) -> Column:
-    return F.expr(f"try_cast(`{c}` AS DOUBLE)")
+    """Double from any column; text that is no number, and "nan", become NULL."""
+    return F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double"))
 
 
 def sign_of(cond_up, cond_down, size=1) -> Column:

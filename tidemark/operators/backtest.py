@@ -22,7 +22,8 @@ def daily_strategy(signals: DataFrame, cash: float = 10_000.0) -> DataFrame:
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("strategy_equity", cash * metrics.growth("strategy_return").over(run))
     df = df.withColumn("buy_hold_equity", cash * metrics.growth("market_return").over(run))
-    return df.withColumn("drawdown", F.col("strategy_equity") / F.max("strategy_equity").over(run) - 1)
+    return df.withColumn("drawdown", F.try_divide(
+        F.col("strategy_equity"), F.max("strategy_equity").over(run)) - 1)
 
 
 def trades(daily: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -116,29 +117,37 @@ def _training_rows(panel: DataFrame, names, day, horizon: int, years: int) -> Da
 
 def pooled_walk_forward(panel: DataFrame, kind: str = "logistic", horizon: int = 5, step: int = 21, years: int = 3,
                         min_train: int = 200, start=None, calibrate: bool = True, method: str = "sigmoid",
-                        options: dict | None = None) -> DataFrame:
+                        options: dict | None = None, parallel: int = 4) -> DataFrame:
     """One model per sampled date on all stocks' rows of the trailing window, then a prediction for
-    every stock on that date. Only the sampled dates come to the driver."""
+    every stock on that date. Only the sampled dates come to the driver; a few dates run at a time
+    and each writes its predictions."""
     spark = panel.sparkSession
     names = feature_names(panel)
     staged = session.stage(panel.select("ticker", "date", "label", *names), "direction_panel")
+    days = [r["date"] for r in sampled_dates(staged, step, start).orderBy("date").collect()]
     out = f"{session.stage_dir(spark)}/direction-{uuid.uuid4().hex}"
-    wrote = False
-    for row in sampled_dates(staged, step, start).orderBy("date").collect():
-        train = _training_rows(staged, names, row["date"], horizon, years)
+
+    def one(k: int) -> bool:
+        day = days[k]
+        train = _training_rows(staged, names, day, horizon, years)
         stats = training_stats(train, names)
         if stats["n"] < min_train or stats["ones"] in (0, stats["n"]):
-            continue
+            return False
         train = train.persist()
-        fitted = _model(kind, calibrate, method, options).fit(train, names, stats)
-        now = staged.where((F.col("date") == F.lit(row["date"])) & F.col("label").isNotNull()).dropna(subset=names)
-        (fitted.score(now).select("ticker", "date", F.col("score").alias("prob_up"), F.col("label").alias("actual"))
-         .write.mode("append").parquet(out))
-        train.unpersist()
-        wrote = True
+        try:
+            fitted = _model(kind, calibrate, method, options).fit(train, names, stats)
+            now = staged.where((F.col("date") == F.lit(day)) & F.col("label").isNotNull()).dropna(subset=names)
+            (fitted.score(now).select("ticker", "date", F.col("score").alias("prob_up"), F.col("label").alias("actual"))
+             .write.parquet(f"{out}/fold={k}"))
+        finally:
+            train.unpersist()
+        return True
+
+    with ThreadPoolExecutor(parallel) as pool:
+        wrote = any(list(pool.map(one, range(len(days)))))
     if not wrote:
         return spark.createDataFrame([], "ticker string, date date, prob_up double, actual int")
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("ticker", "date", "prob_up", "actual")
 
 
 def latest_rows(panel: DataFrame) -> DataFrame:

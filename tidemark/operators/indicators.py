@@ -100,6 +100,9 @@ def _add_smoothed(bars: DataFrame, macd, adx: int | None) -> DataFrame:
         total = F.col("plus_di") + F.col("minus_di")
         df = df.withColumn("_dx", 100 * safe_div(F.abs(F.col("plus_di") - F.col("minus_di")), total))
     df = smooth(df, second)
+    if adx:  # rounding may lift a mean of numbers up to 100 just above it
+        df = df.withColumn(f"adx{adx}", F.when(
+            F.col(f"adx{adx}").isNotNull(), F.least(F.col(f"adx{adx}"), F.lit(100.0))))
     keep = list(bars.columns)
     if macd:
         df = df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))

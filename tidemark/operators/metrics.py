@@ -31,7 +31,7 @@ def equity_curves(returns: DataFrame, by, order: str, ret: str = "ret", cash: fl
     """Compounded value and drawdown after each period."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     curve = returns.withColumn("equity", cash * growth(ret).over(w))
-    return curve.withColumn("drawdown", F.col("equity") / F.max("equity").over(w) - 1)
+    return curve.withColumn("drawdown", F.try_divide(F.col("equity"), F.max("equity").over(w)) - 1)
 
 
 def metric_bundle(returns: DataFrame, by, order: str, ret: str | dict[str, str] = "ret", risk_free: float = 0.0,
@@ -44,7 +44,7 @@ def metric_bundle(returns: DataFrame, by, order: str, ret: str | dict[str, str]
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     zeroed = returns.select("*", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"_r{p}") for p, c in series.items()])
     grown = zeroed.select("*", *[growth(f"_r{p}").over(w).alias(f"_e{p}") for p in series])
-    falls = grown.select("*", *[(F.col(f"_e{p}") / F.max(f"_e{p}").over(w) - 1).alias(f"_d{p}") for p in series])
+    falls = grown.select("*", *[(F.try_divide(F.col(f"_e{p}"), F.max(f"_e{p}").over(w)) - 1).alias(f"_d{p}") for p in series])
     n = F.count("*")
     aggs = []
     for p in series:

@@ -46,7 +46,7 @@ def permutation_draws(scored: DataFrame, n: int = 3, draws: int = 100, seed: int
         F.count("*").alias("n"), F.sum("label").alias("n1"), F.sum("_pick").alias("n_picks"))
     dates = dates.withColumn("_cells", F.least(F.lit(MAX_CELLS), F.ceil(F.col("n") / ROWS_PER_CELL)))
     # One row per date.
-    known = base.join(F.broadcast(dates.select(DATE, "n1", "_cells")), DATE)
+    known = session.spread(base).join(F.broadcast(dates.select(DATE, "n1", "_cells")), DATE)
     number = uniform_int(F.lit(seed), F.col("draw"), F.col(DATE), F.col("ticker"))
     drawn = (_draws(known, draws).withColumn("_u", number)
              .withColumn("_cell", F.floor(F.col("_u") * F.col("_cells") / F.lit(SPAN)).cast("int")))
@@ -54,10 +54,10 @@ def permutation_draws(scored: DataFrame, n: int = 3, draws: int = 100, seed: int
         F.count("*").alias("_held"), F.sum("avg_rank").alias("_ranks"), F.sum("_pick").alias("_picks"))
     before = F.coalesce(F.sum("_held").over(
         Window.partitionBy("draw", DATE).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.withColumn("_before", before).where(F.col("_before") < F.col("n1"))
+    cells = session.stage(cells.withColumn("_before", before).where(F.col("_before") < F.col("n1")), "cells")
     whole = cells.where(F.col("_before") + F.col("_held") <= F.col("n1")).select("draw", DATE, "_ranks", "_picks")
     edge = cells.where(F.col("_before") + F.col("_held") > F.col("n1")).select("draw", DATE, "_cell", "_before")
-    # One row per draw and date.
+    # One row per draw and date: a size set by the caller and the calendar.
     inside = drawn.join(F.broadcast(edge), ["draw", DATE, "_cell"])
     place = F.row_number().over(Window.partitionBy("draw", DATE).orderBy("_u", "ticker"))
     part = (inside.withColumn("_place", place).where(F.col("_before") + F.col("_place") <= F.col("n1"))
@@ -231,7 +231,7 @@ def random_picks(candidates: DataFrame, n: int = 3, draws: int = 500, seed: int
     """
     numbered = session.stage(ranks.hash_positions(candidates.select(DATE, "ticker"), [DATE]), "candidates")
     dates = numbered.groupBy(DATE).agg(F.max("n").alias("_n"))
-    slots = _draws(dates, draws)
+    slots = _draws(session.spread(dates), draws)
     for j in range(n):
         top = F.col("_n") - n + j
         pick = uniform_int(F.lit(seed), F.col("draw"), F.col(DATE), F.lit(j)) % (top + 1)

@@ -10,17 +10,20 @@ task. Ranks are therefore built from slices of the value range:
 
 A value equal to a cut point gets a slice of its own. A value held by a large share of a group is
 always a cut point, so ties cannot make a slice hot: rows of such a slice need no ordering and are
-spread over salts. The cut points come from the values alone (no sketch, no arrival order), so a
-task that is run again slices the same way.
+spread over salts.
 
-Cut points and offsets are broadcast: one row per group and slice, where the groups are dates (or
-dates x features x sectors), that is, bounded by the calendar and not by the rows.
+Cut points and offsets have one row per group (and slice); groups are dates, or dates x features x
+sectors, so they grow with the calendar and not with the rows. Both are staged: every later step
+reads the same cut points, and Spark sees the tables' real size, broadcasts them below its
+threshold and joins by shuffle above it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark import session
+
 SAMPLE_ONE_IN = 4096
 SLICES = 64
 SALTS = 256
@@ -49,7 +52,7 @@ def ranked(df: DataFrame, by, value: str, key, one_in: int = SAMPLE_ONE_IN, slic
     NULL are left out. ``df`` is read several times: stage it when it is expensive.
     """
     by, key = list(by), list(key)
-    cuts = F.broadcast(_cut_points(df, by, value, key, one_in, slices))
+    cuts = session.stage(_cut_points(df, by, value, key, one_in, slices), "cuts")
     sliced = (df.where(F.col(value).isNotNull()).join(cuts, by, "left")
               .withColumn("_slice", _slice(F.col(value))).drop("_cuts"))
     w_group = Window.partitionBy(*by)
@@ -59,7 +62,7 @@ def ranked(df: DataFrame, by, value: str, key, one_in: int = SAMPLE_ONE_IN, slic
         .withColumn("_before", F.sum("_held").over(
             w_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)))
     )
-    rows = sliced.join(F.broadcast(offsets), [*by, "_slice"])
+    rows = sliced.join(session.stage(offsets, "offsets"), [*by, "_slice"])
     is_point = F.col("_slice") % 2 == 1
     salt = F.when(is_point, F.pmod(F.xxhash64(*key), F.lit(SALTS))).otherwise(0)
     rows = rows.withColumn("_salt", salt)

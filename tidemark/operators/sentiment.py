@@ -32,15 +32,17 @@ def scorer(make_classifier: Callable[[], Classifier]):
     return distributions
 
 
-def lexicon_column(positive, negative, text: str = "text") -> Column:
-    """Word-list classifier as a plain column: no Python involved."""
+def lexicon_column(positive, negative, text: str = "text", sure: float = 0.9, rest: float = 0.05,
+                   neutral: tuple[float, float, float] = (0.1, 0.1, 0.8)) -> Column:
+    """Word-list classifier as a plain column: no Python involved. ``sure`` is the weight of the
+    side whose word occurs, ``rest`` that of the other labels."""
     words = F.split(F.lower(F.trim(text)), r"\W+")
     has = lambda wanted: F.arrays_overlap(words, F.array(*[F.lit(w) for w in wanted]))
     dist = lambda p, n, z: F.array(*[
         F.struct(F.lit(label).alias("label"), F.lit(score).alias("score"))
         for label, score in (("positive", p), ("negative", n), ("neutral", z))])
-    return (F.when(has(positive), dist(0.9, 0.05, 0.05)).when(has(negative), dist(0.05, 0.9, 0.05))
-            .otherwise(dist(0.1, 0.1, 0.8)))
+    return (F.when(has(positive), dist(sure, rest, rest)).when(has(negative), dist(rest, sure, rest))
+            .otherwise(dist(*neutral)))
 
 
 def signed_score(distribution="distribution") -> Column:

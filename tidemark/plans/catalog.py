@@ -16,6 +16,7 @@ from tidemark.sources import market_views as views, news, tables
 
 AS_OF = "2000-01-31"
 POSITIVE, NEGATIVE = ("purchase", "signup"), ("error",)
+SURE, REST = 0.875, 0.125  # sums of these are exact in binary
 CONFIG = books.SelectionConfig(market=views.MARKET)
 
 
@@ -77,7 +78,8 @@ class Market:
 
     @cached_property
     def scored_headlines(self) -> DataFrame:
-        return sentiment.scored_headlines(self.headlines, sentiment.lexicon_column(POSITIVE, NEGATIVE))
+        return sentiment.scored_headlines(self.headlines, sentiment.lexicon_column(
+            POSITIVE, NEGATIVE, sure=SURE, rest=REST))
 
     @cached_property
     def supplier_ticks(self) -> DataFrame:
@@ -436,7 +438,7 @@ def turnover(m):
 
 @query
 def candidates(m):
-    return selection.candidates(m.matrix, 6)
+    return selection.candidates(features.feature_matrix(m.bars, None, m.calendar), 6)
 
 
 @query
@@ -550,7 +552,8 @@ def deflated_sharpe(m):
 
 
 def _null(m, draws: int):
-    cells = selection.candidates(m.matrix, 13)
+    cells = selection.candidates(session.stage(
+        features.feature_matrix(m.bars, None, m.calendar).select(*features.KEYS), "cells"), 13)
     periods = evaluation.holding_periods(m.scores)
     returns = session.stage(asof.period_returns(m.bars, periods).select(
         "ticker", "entry_date", "exit_date", "ret"), "returns")
@@ -675,13 +678,13 @@ def market_mood(m):
 def classifier_scores(m):
     """The same lexicon as an injected Python classifier, fed Arrow batches."""
     def make():
-        table = {"positive": POSITIVE, "negative": NEGATIVE}
+        table, sure, rest = {"positive": POSITIVE, "negative": NEGATIVE}, SURE, REST
 
         def classify(texts):
             out = []
             for t in texts:
                 side = next((k for k, words in table.items() if t in words), None)
-                p, n, z = {"positive": (.9, .05, .05), "negative": (.05, .9, .05), None: (.1, .1, .8)}[side]
+                p, n, z = {"positive": (sure, rest, rest), "negative": (rest, sure, rest), None: (.1, .1, .8)}[side]
                 out.append([{"label": "positive", "score": p}, {"label": "negative", "score": n},
                             {"label": "neutral", "score": z}])
             return out
@@ -742,3 +745,52 @@ def stream_positions(m):
     from tidemark.streaming.positions import held_positions
     scores = rules.rule_signals(m.raw).select("ticker", "date", "score")
     return _drain(held_positions(_as_stream(scores, "daily_scores")))
+
+
+# ---- model queries -----------------------------------------------------------------------------
+
+def _ranked(m) -> DataFrame:
+    return session.stage(features.normalise(m.matrix, "rank"), "ranked")
+
+
+@query
+def latest_scores_gbm(m):
+    """Scores of the newest cross-section from the boosted ranker, with its default settings."""
+    return walk_forward.latest_scores(_ranked(m), m.labels, "gbm")
+
+
+@query
+def latest_scores_rf(m):
+    return walk_forward.latest_scores(_ranked(m), m.labels, "rf")
+
+
+@query
+def latest_scores_xgb(m):
+    return walk_forward.latest_scores(_ranked(m), m.labels, "xgb")
+
+
+@query
+def selection_run_logistic(m):
+    """The whole chain with a learned ranker: walk-forward scores, book, metrics."""
+    scores = walk_forward.walk_forward_scores(_ranked(m), m.labels, "logistic", calendar=m.calendar)
+    return books.book_metrics(session.stage(books.book_streams(scores, m.bars, CONFIG), "streams"))
+
+
+@query
+def sentiment_ablation(m):
+    """Newest cross-section scored with and without the sentiment column."""
+    s = sentiment.sentiment_feature(m.scored_headlines, m.calendar, 40)
+    matrix = session.stage(features.with_sentiment(_ranked(m), s), "with_sentiment")
+    return books.ablation(matrix, "sentiment", lambda x: walk_forward.latest_scores(x, m.labels, "logistic"))
+
+
+@query
+def pooled_direction(m):
+    """Pooled calibrated forecasts at sampled dates, summarised."""
+    got = direction.pooled_walk_forward(m.panel, "logistic", step=252)
+    return evaluation.prediction_summary(got)
+
+
+@query
+def pooled_direction_latest(m):
+    return direction.forecast_latest(session.stage(m.panel, "panel"), "logistic", calibrate=True)

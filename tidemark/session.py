@@ -51,3 +51,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Enough partitions for work that multiplies rows. Small inputs arrive in one or two files and
+    would be expanded by as many tasks; large ones already come in many and are left alone."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
