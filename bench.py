@@ -29,6 +29,7 @@ def main() -> None:
         "spark.sql.shuffle.partitions": cpus,
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call sites per expression
         # A few megabytes per task is right on a cluster, but would leave local cores idle.
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tidemark-bench-"),

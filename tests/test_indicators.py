@@ -24,7 +24,7 @@ def test_flat_series_has_zero_macd(spark):
     assert all(r.macd == 0.0 and r.macd_signal == 0.0 and r.macd_hist == 0.0 for r in rows)
 
 
-def _reference_adx(h, lo, c):
+def _pandas_adx(h, lo, c):
     e = lambda x: x.ewm(alpha=1 / 14, min_periods=14, adjust=False).mean()
     tr = pd.concat([h - lo, (h - c.shift()).abs(), (lo - c.shift()).abs()], axis=1).max(axis=1)
     up, down = h.diff(), -lo.diff()
@@ -42,7 +42,7 @@ def test_macd_and_adx_match_the_recursion(spark):
     line = c.ewm(span=12, adjust=False).mean() - c.ewm(span=26, adjust=False).mean()
     assert np.allclose(got.macd, line, atol=1e-9)
     assert np.allclose(got.macd_signal, line.ewm(span=9, adjust=False).mean(), atol=1e-9)
-    want = _reference_adx(c + .5, c - .5, c)
+    want = _pandas_adx(c + .5, c - .5, c)
     assert got.adx14.first_valid_index() == want.first_valid_index() == 26
     assert np.allclose(got.adx14[26:], want[26:], atol=1e-9)
 

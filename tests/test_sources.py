@@ -17,16 +17,16 @@ not a date,10,11,9,10,9.5,100,0,0
 
 @pytest.fixture()
 def price_dir(tmp_path):
-    (tmp_path / "EA.csv").write_text(CSV)
-    (tmp_path / "mmm.csv").write_text(CSV)
+    (tmp_path / "QQ.csv").write_text(CSV)
+    (tmp_path / "rr.csv").write_text(CSV)
     return str(tmp_path)
 
 
 def test_price_files(spark, price_dir):
     df = tables.read_price_files(spark, price_dir)
     assert df.schema == schemas.BARS or df.columns == schemas.BARS.fieldNames()
-    assert {r.ticker for r in df.collect()} == {"EA", "MMM"} and df.count() == 6
-    got = by(tables.load_prices(df, [" ea "]), "date")
+    assert {r.ticker for r in df.collect()} == {"QQ", "RR"} and df.count() == 6
+    got = by(tables.load_prices(df, [" qq "]), "date")
     assert set(got) == {dt.date(2021, 3, 12), dt.date(2021, 3, 16)}
     first = got[dt.date(2021, 3, 12)]
     assert first.close == pytest.approx(9.5) and first.high == pytest.approx(11 * .95) and first.volume == 100

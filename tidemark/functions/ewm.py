@@ -50,8 +50,8 @@ def smooth(df: DataFrame, specs: list[Ewm]) -> DataFrame:
     (ticker, block, date), so the frame is sorted once."""
     w_block = (Window.partitionBy("ticker", "_block").orderBy("date")
                .rowsBetween(Window.unboundedPreceding, 0))
-    w_ticker = Window.partitionBy("ticker").orderBy("_block", "date")
-    running = w_ticker.rowsBetween(Window.unboundedPreceding, 0)
+    running = (Window.partitionBy("ticker").orderBy("_block", "date")
+               .rowsBetween(Window.unboundedPreceding, 0))
 
     def seen(s: Ewm) -> Column:
         return F.col(f"_seen_{s.out}") if s.gaps else F.col("_i") + 1
@@ -64,9 +64,11 @@ def smooth(df: DataFrame, specs: list[Ewm]) -> DataFrame:
     local = terms.select("*", *[
         (F.pow(F.lit(1.0 - s.alpha), F.col("_j")) * F.sum(f"_term_{s.out}").over(w_block)).alias(f"_local_{s.out}")
         for s in specs])
-    lagged = local.select("*", *[F.lag(f"_local_{s.out}").over(w_ticker).alias(f"_prev_{s.out}") for s in specs])
-    carried = lagged.select("*", *[
-        F.coalesce(F.first(f"_prev_{s.out}").over(w_block), F.lit(0.0)).alias(f"_carry_{s.out}") for s in specs])
+    earlier = (Window.partitionBy("ticker").orderBy("_block")
+               .rangeBetween(Window.unboundedPreceding, -1))
+    carried = local.select("*", *[
+        F.coalesce(F.max_by(f"_local_{s.out}", "_i").over(earlier), F.lit(0.0)).alias(f"_carry_{s.out}")
+        for s in specs])
 
     def value(s: Ewm) -> Column:
         y = (F.coalesce(F.col(f"_local_{s.out}"), F.lit(0.0))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark import session
 from tidemark.functions.numeric import safe_div
 from tidemark.operators import metrics, rules
 from tidemark.operators.indicators import by_date, change
@@ -48,7 +49,8 @@ def trades(daily: DataFrame) -> DataFrame:
 def summary(bars: DataFrame, cash: float = 10_000.0, position: PositionFunction = rules.rule_signals) -> DataFrame:
     """One row per ticker; tickers without enough history get a status instead of numbers."""
     signals = position(bars.where(F.col("close").isNotNull()))
-    daily = daily_strategy(signals, cash)
+    daily = session.stage(daily_strategy(signals, cash).select(
+        "ticker", "date", "close", "position", "strategy_equity", "buy_hold_equity", "drawdown"), "daily")
     totals = daily.groupBy("ticker").agg(
         F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count("*").alias("_n"),
         F.max_by("strategy_equity", "date").alias("final_strategy_value"),

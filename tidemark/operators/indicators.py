@@ -162,17 +162,18 @@ def latest_cross_event(df: DataFrame) -> DataFrame:
 
 def technical_frame(bars: DataFrame) -> DataFrame:
     """All technical features per (ticker, date)."""
-    keep = [c for c in ("open", "high", "low", "close", "volume") if c in bars.columns]
-    base = add_macd_adx(bars.select("ticker", "date", *keep).where(F.col("close").isNotNull()))
+    keep = [c for c in ("high", "low") if c in bars.columns]
+    base = bars.select("ticker", "date", *keep, "close").where(F.col("close").isNotNull())
     plain = base.select(
-        "ticker", "date", "close", "macd", F.col(f"adx{ADX_WINDOW}").alias("adx"),
-        change().alias("_ret"),
+        "*", change().alias("_ret"),
         *[change(n, skip).alias(name) for name, (n, skip) in MOMENTUM_WINDOWS.items()],
         change(REVERSAL_WINDOW).alias("reversal_5d"),
         (F.col("close") / F.max("close").over(_trailing(HIGH_WINDOW))).alias("high_52w"))
     risk = plain.withColumn("volatility", rolling_std("_ret", VOLATILITY_WINDOW))
     scaled = F.when(F.col("volatility") > 0, F.col("mom_12m") / F.col("volatility"))
-    return risk.withColumn("mom_risk_adj", scaled).select(
+    # Windows by date come first: the smoothed columns sort by (ticker, block, date).
+    smoothed = add_macd_adx(risk.withColumn("mom_risk_adj", scaled))
+    return smoothed.withColumnRenamed(f"adx{ADX_WINDOW}", "adx").select(
         "ticker", "date", "close", *schemas.TECHNICAL_FEATURES)
 
 
@@ -244,12 +245,12 @@ DIRECTION_FEATURES = ["ret_1", "ret_2", "ret_3", "ret_5", "ret_10", "mom_10", "m
 def direction_features(bars: DataFrame) -> DataFrame:
     """Features of the short-horizon direction model; ``adx_14`` only when the bars have a range."""
     has_adx = _has_range(bars)
-    keep = ["ticker", "date", *(["high", "low"] if has_adx else []), "close"]
-    base = _add_smoothed(bars.select(*keep), MACD, ADX_WINDOW)
+    base = bars.select("ticker", "date", *(["high", "low"] if has_adx else []), "close")
     lags = base.select("*", *[change(k).alias(f"ret_{k}") for k in (1, 2, 3, 5, 10)],
                        change(10).alias("mom_10"), change(20).alias("mom_20"),
                        *[(safe_div("close", rolling_mean("close", n)) - 1).alias(f"close_sma{n}") for n in (20, 50)])
-    out = lags.select("*", *[rolling_std("ret_1", n).alias(f"vol_{n}") for n in (10, 20)])
+    rolled = lags.select("*", *[rolling_std("ret_1", n).alias(f"vol_{n}") for n in (10, 20)])
+    out = _add_smoothed(rolled, MACD, ADX_WINDOW)
     if has_adx:
         out = out.withColumnRenamed(f"adx{ADX_WINDOW}", "adx_14")
     return out.select("ticker", "date", "close", *[c for c in DIRECTION_FEATURES if has_adx or c != "adx_14"])
