@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -32,7 +31,6 @@ def main() -> None:
         "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call sites per expression
         # A few megabytes per task is right on a cluster, but would leave local cores idle.
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
-        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tidemark-bench-"),
     })
     spark.sparkContext.setLogLevel("OFF")
     from tidemark.plans.catalog import REGISTRY

@@ -117,7 +117,7 @@ def _training_rows(panel: DataFrame, names, day, horizon: int, years: int) -> Da
 
 def pooled_walk_forward(panel: DataFrame, kind: str = "logistic", horizon: int = 5, step: int = 21, years: int = 3,
                         min_train: int = 200, start=None, calibrate: bool = True, method: str = "sigmoid",
-                        options: dict | None = None, parallel: int = 4) -> DataFrame:
+                        options: dict | None = None, parallel: int = 8) -> DataFrame:
     """One model per sampled date on all stocks' rows of the trailing window, then a prediction for
     every stock on that date. Only the sampled dates come to the driver; a few dates run at a time
     and each writes its predictions."""
@@ -133,7 +133,7 @@ def pooled_walk_forward(panel: DataFrame, kind: str = "logistic", horizon: int =
         stats = training_stats(train, names)
         if stats["n"] < min_train or stats["ones"] in (0, stats["n"]):
             return False
-        train = train.persist()
+        train = session.fitted_to(train, stats["n"]).persist()
         try:
             fitted = _model(kind, calibrate, method, options).fit(train, names, stats)
             now = staged.where((F.col("date") == F.lit(day)) & F.col("label").isNotNull()).dropna(subset=names)
@@ -163,8 +163,10 @@ def forecast_latest(panel: DataFrame, kind: str = "baseline", horizon: int = 5,
     else:
         names = feature_names(panel)
         day = as_of or panel.agg(F.max("date")).first()[0]
-        train = _training_rows(panel, names, day, horizon, years).persist()
-        fitted = _model(kind, calibrate, method, options).fit(train, names)
+        train = _training_rows(panel, names, day, horizon, years)
+        stats = training_stats(train, names)
+        train = session.fitted_to(train, stats["n"]).persist()
+        fitted = _model(kind, calibrate, method, options).fit(train, names, stats)
         scored = fitted.score(last).withColumnRenamed("score", "prob_up")
     return scored.select("ticker", F.col("date").alias("as_of"), "prob_up",
                          F.when(F.col("prob_up") >= 0.5, "up").otherwise("down").alias("direction"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.numeric import safe_div
-from tidemark.operators import asof
+from tidemark.operators import asof, features
 from tidemark.operators.metrics import nonzero_std
 
 DATE = "rebalance_date"
@@ -102,8 +102,7 @@ def latest_picks(weights: DataFrame) -> DataFrame:
 
 def candidates(matrix: DataFrame, min_train_dates: int = 3) -> DataFrame:
     """The cross-sections a selector could trade: all cells after the first ``min_train_dates``."""
-    from tidemark.operators.features import numbered
-    dates = numbered(matrix).where(F.col("_k") >= min_train_dates).select(DATE)
+    dates = features.numbered(matrix).where(F.col("_k") >= min_train_dates).select(DATE)
     return matrix.select(DATE, "ticker").join(F.broadcast(dates), DATE)
 
 

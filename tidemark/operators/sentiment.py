@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark import schemas
 from tidemark.operators.features import KEYS
@@ -135,7 +135,6 @@ def ticker_sentiment(scored: DataFrame, as_of, lookback_days: int = 30) -> DataF
 def newest_headlines(scored: DataFrame, as_of, lookback_days: int = 30, n: int = 10, tie: str = "seq") -> DataFrame:
     """The newest ``n`` headlines per ticker; map tasks keep at most ``n`` per ticker before the
     shuffle, so a ticker with very much news stays small."""
-    from pyspark.sql import Window
     w = Window.partitionBy("ticker").orderBy(F.col("published_at").desc(), F.col(tie).desc())
     return (window_at(scored, as_of, lookback_days).withColumn("recency", F.row_number().over(w))
             .where(F.col("recency") <= n))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark import schemas, session
 from tidemark.functions.numeric import rounded
 from tidemark.operators import (asof, backtest, direction, evaluation, features, fundamentals, indicators, metrics,
-                                montecarlo, rules, selection, sentiment)
+                                montecarlo, ranks, rules, selection, sentiment)
 from tidemark.operators.selection import DATE
 from tidemark.plans import books, walk_forward
 from tidemark.sources import market_views as views, news, tables
@@ -100,7 +101,6 @@ class Market:
     @cached_property
     def predictions(self) -> DataFrame:
         """Percentile of mom_20 inside each date as the probability; actual is the 5-day direction."""
-        from tidemark.operators import ranks
         rows = session.stage(self.panel.where(F.col("mom_20").isNotNull() & F.col("label").isNotNull())
                              .select("ticker", "date", "mom_20", "label"), "panel")
         p = F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.round(F.col("avg_rank") / F.col("n"), 4)))
@@ -713,7 +713,6 @@ def _drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return what it emitted, as a table."""
     spark = stream.sparkSession
     base = session.stage_dir(spark)
-    import uuid
     tag = uuid.uuid4().hex
     q = (stream.writeStream.format("parquet").outputMode(mode).trigger(availableNow=True)
          .option("path", f"{base}/stream-{tag}").option("checkpointLocation", f"{base}/stream-{tag}-state").start())
@@ -723,9 +722,7 @@ def _drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 def _as_stream(df: DataFrame, name: str) -> DataFrame:
     """A file stream over a staged copy of ``df``."""
-    spark = df.sparkSession
-    staged = session.stage(df, name)
-    return spark.readStream.schema(staged.schema).parquet(staged.inputFiles()[0].rsplit("/", 1)[0])
+    return df.sparkSession.readStream.schema(df.schema).parquet(session.write_stage(df, name))
 
 
 @query

@@ -41,16 +41,27 @@ def stage_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def write_stage(df: DataFrame, name: str, by: list[str] | None = None) -> str:
+    """Write ``df`` under the shared folder and return its path. ``by`` partitions the table, for
+    readers that want few of the values; rows are range-partitioned over ``by`` and the next
+    column, so a hot value spans many tasks."""
+    path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if by:
+        rest = [c for c in df.columns if c not in by][:1]
+        df.repartitionByRange(*by, *rest).write.partitionBy(*by).parquet(path)
+    else:
+        df.write.parquet(path)
+    return path
+
+
+def stage(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Used where a result feeds several branches of a plan: the table is computed once, a lost
     executor does not lose it, and the reader sees real file sizes when it picks join strategies.
     """
-    spark = df.sparkSession
-    path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = write_stage(df, name, by)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -58,3 +69,12 @@ def spread(df: DataFrame) -> DataFrame:
     would be expanded by as many tasks; large ones already come in many and are left alone."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+ROWS_PER_TASK = 50_000
+
+
+def fitted_to(df: DataFrame, rows: int) -> DataFrame:
+    """No more partitions than ``rows`` need. Iterative fits run many jobs over the same rows; on a
+    small training set the tasks would cost more than the work."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
