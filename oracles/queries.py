@@ -422,6 +422,13 @@ oracle("sensitivity_grid", f"""
                    FROM ({drawn(GRID, 'top_n, cost', 'entry_date', 'r')}) GROUP BY top_n, cost)
     JOIN ({HITS}) USING (top_n)""", "book3 book5 book10 churn3 churn5 churn10 rets hits3 hits5 hits10",
        " ".join(M6) + " cost precision")
+oracle("deflated_sharpe_inputs", f"""
+    SELECT t.n_trials, m.n, m.sharpe AS sr, m.skew, m.kurtosis, v.trial_variance
+    FROM ({moments('(SELECT net AS r FROM streams WHERE net IS NOT NULL)')}) m,
+         (SELECT var_samp(s) AS trial_variance FROM (
+            SELECT avg(r) / stddev_samp(r) AS s FROM ({GRID}) GROUP BY top_n, cost)) v,
+         (SELECT CAST(unnest([10, 30, 50, 80]) AS INTEGER) AS n_trials) t""",
+       "streams book3 book5 book10 churn3 churn5 churn10 rets", "sr skew kurtosis trial_variance")
 oracle("random_null", 'SELECT * FROM null_dist', "null_dist", "ann_return sharpe")
 BOTHNULL = """SELECT 'ann_return' AS statistic, ann_return AS value FROM null_dist
               UNION ALL SELECT 'sharpe', sharpe FROM null_dist """

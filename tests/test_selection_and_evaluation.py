@@ -197,6 +197,19 @@ def test_sharpe_moments_match_numpy(spark):
     assert m.skew == pytest.approx((z ** 3).mean()) and m.kurtosis == pytest.approx((z ** 4).mean())
 
 
+def test_probabilities_match_the_normal_distribution(spark):
+    import math
+    from statistics import NormalDist
+    x = np.random.default_rng(5).normal(.02, .05, 80)
+    row = montecarlo.deflated_sharpe(spark.createDataFrame([(float(v),) for v in x], "net double"), None, [40]).first()
+    sr, nd, g = x.mean() / x.std(ddof=1), NormalDist(), 0.5772156649015329
+    sr0 = math.sqrt(1 / 79) * ((1 - g) * nd.inv_cdf(1 - 1 / 40) + g * nd.inv_cdf(1 - 1 / (40 * math.e)))
+    z = (x - x.mean()) / x.std()
+    k, s = (z ** 4).mean(), (z ** 3).mean()
+    want = nd.cdf((sr - sr0) * math.sqrt(79) / math.sqrt(1 - s * sr + (k - 1) / 4 * sr * sr))
+    assert row.sr0 == pytest.approx(sr0) and row.dsr == pytest.approx(want)
+
+
 def test_random_picks_are_distinct_and_uniform(spark):
     c = spark.createDataFrame([(DATES[0], f"T{i}") for i in range(7)] + [(DATES[1], f"T{i}") for i in range(2)],
                               "rebalance_date date, ticker string")

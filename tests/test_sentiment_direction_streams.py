@@ -97,6 +97,22 @@ def test_a_learnable_wave_is_learned(waves):
     assert s.accuracy > .8 and s.edge > .2 and s.n_stocks == 4
 
 
+def test_per_stock_forecast_matches_plain_descent(waves):
+    names = direction.feature_names(waves)
+    pdf = direction.complete_rows(waves).where("ticker = 'S1'").toPandas().sort_values("date")
+    x, y = pdf[names].to_numpy(), pdf["label"].to_numpy("float64")
+    i, horizon, train = 200, 5, 150
+    xs, ys = x[i - horizon - train:i - horizon], y[i - horizon - train:i - horizon]
+    z = (xs - xs.mean(axis=0)) / xs.std(axis=0)
+    w, b = np.zeros(z.shape[1]), 0.0
+    for _ in range(60_000):
+        r = 1 / (1 + np.exp(-(z @ w + b))) - ys
+        w, b = w - .005 * (z.T @ r + w), b - .005 * r.sum()
+    want = 1 / (1 + math.exp(-(((x[i] - xs.mean(axis=0)) / xs.std(axis=0)) @ w + b)))
+    got = direction.per_stock_logistic(waves.where("ticker = 'S1'"), horizon, train, step=1).toPandas()
+    assert got.set_index("date").prob_up[pdf["date"].iat[i]] == pytest.approx(want, abs=1e-4)
+
+
 def test_pooled_walk_forward_is_calibrated(waves):
     got = direction.pooled_walk_forward(waves, "logistic", step=120, years=1, options={"maxIter": 30}).cache()
     s = evaluation.prediction_summary(got).first()

@@ -551,6 +551,13 @@ def deflated_sharpe(m):
     return books.robustness(m.scores, m.labels, m.bars)["deflated"]
 
 
+@query
+def deflated_sharpe_inputs(m):
+    """Everything the deflated Sharpe is made of, without the normal distribution."""
+    return books.robustness(m.scores, m.labels, m.bars)["deflated"].select(
+        "n_trials", "n", "sr", "skew", "kurtosis", "trial_variance")
+
+
 def _null(m, draws: int):
     cells = selection.candidates(session.stage(
         features.feature_matrix(m.bars, None, m.calendar).select(*features.KEYS), "cells"), 13)
