@@ -231,7 +231,7 @@ def random_picks(candidates: DataFrame, n: int = 3, draws: int = 500, seed: int
     """
     numbered = session.stage(ranks.hash_positions(candidates.select(DATE, "ticker"), [DATE]), "candidates")
     dates = numbered.groupBy(DATE).agg(F.max("n").alias("_n"))
-    slots = _draws(session.spread(dates), draws)
+    slots = _draws(dates.repartition(dates.sparkSession.sparkContext.defaultParallelism, DATE), draws)
     for j in range(n):
         top = F.col("_n") - n + j
         pick = uniform_int(F.lit(seed), F.col("draw"), F.col(DATE), F.lit(j)) % (top + 1)

@@ -66,7 +66,8 @@ def stage(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Enough partitions for work that multiplies rows. Small inputs arrive in one or two files and
-    would be expanded by as many tasks; large ones already come in many and are left alone."""
+    would be expanded by as many tasks; large ones already come in many and are left alone. ``df``
+    is a scan (of a staged table, say): asking a shuffled plan for its partitions would run it."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
