@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import session
-from tidemark.llm import decontaminate, language, pii, secrets
+from tidemark.llm import decontaminate, jaccard, language, packing, pii, secrets
 from tidemark.llm.common import table
 
 
@@ -31,14 +31,26 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.prepare(spark)
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.prepare(spark)
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.prepare(spark)
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
+    "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
+    "op10_jaccard_join": op10_jaccard_join,
 }
