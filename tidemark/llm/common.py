@@ -48,6 +48,20 @@ def scan(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, rows: i
     return df.mapInArrow(run, struct)
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of each run of equal first ``keys`` columns, without these; the rows come sorted by them."""
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != now:
+                if rows:
+                    yield now, rows
+                now, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield now, rows
+
+
 def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, a staged table of a few fixed-size columns, marked for broadcast if it has at most
     ``limit`` rows; otherwise Spark joins it by shuffling."""

@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import components, scan, small_or_not
+from tidemark.llm.common import components, runs, scan, small_or_not
 from tidemark.session import stage
 
 NGRAM, PERCENT = 4, 85
@@ -153,20 +153,6 @@ def solve(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return root
 
 
-def _regions(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows of each run of equal first ``keys`` columns; the rows come sorted by them."""
-    now, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:keys] != now:
-                if rows:
-                    yield now, rows
-                now, rows = row[:keys], []
-            rows.append(row[keys:])
-    if rows:
-        yield now, rows
-
-
 def _set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
@@ -174,7 +160,7 @@ def _set(raw: bytes) -> np.ndarray:
 def _solved(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect the sets (region, key, grams) of each region like all its links do."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _regions(batches, 1):
+        for _, rows in runs(batches, 1):
             own = sorted(dict(rows).items())
             if len(own) < 2:
                 continue
@@ -200,7 +186,7 @@ def _to_pivots(members: DataFrame, sizes: DataFrame, salt: int) -> DataFrame:
             .union(pivots.withColumn("kind", F.lit(0)).select(columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (region, _), rows in _regions(batches, 2):
+        for (region, _), rows in runs(batches, 2):
             centres = sorted({k: g for kind, k, g in rows if not kind}.items())
             universe, inverse = np.unique(np.concatenate([_set(g) for _, g in centres] or [np.zeros(0, np.uint64)]),
                                           return_inverse=True)

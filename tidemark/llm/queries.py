@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import session
-from tidemark.llm import decontaminate, jaccard, language, packing, pii, secrets
+from tidemark.llm import decontaminate, jaccard, language, neighbours, packing, pii, secrets
 from tidemark.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(~language.training_part(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.prepare(spark)
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.prepare(spark)
     return pii.digest(pii.scan_pii(table(spark, sf_dir, "documents")))
@@ -48,6 +53,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
+    "op3_neighbours": op3_neighbours,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
