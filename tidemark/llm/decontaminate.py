@@ -60,9 +60,10 @@ def _windows(words: Column, size: int) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                  item_col: str = "item_id", item_text_col: str = "text",
+                  keep_row: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit (words inside a window of an item), n_items,
-    items (their ids as strings, sorted as strings), contaminated."""
+    items (their ids as strings, sorted as strings), contaminated; on request also _row, the hash of the text."""
     items = stage(benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("words"))
                   .filter(F.size("words") > 0), "bench-items")
     short = sorted(r[0] for r in items.filter(F.size("words") < SPAN).select(F.size("words")).distinct().collect())
@@ -113,5 +114,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         out = out.join(part, same, "left").drop("_id", "_key")
     out = (out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
            .withColumn("items", F.coalesce("items", F.array().cast("array<string>"))))
-    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit",
+    row = ["_row"] if keep_row else []
+    return out.select("doc_id", *row, F.col("n_words").cast("long").alias("n_words"), "n_hit",
                       F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))

@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import session
-from tidemark.llm import decontaminate, jaccard, language, neighbours, packing, pii, secrets
+from tidemark.llm import decontaminate, jaccard, language, licences, neighbours, packing, pii, quality, repeats, secrets
 from tidemark.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.prepare(spark)
+    found = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                  host=F.col("source"), path=F.concat_ws("/", "source", "lang"))
+    return found.select("doc_id", "score", "keep", "evidence", "site_rate")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.prepare(spark)
     docs = table(spark, sf_dir, "documents")
@@ -46,17 +53,33 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.prepare(spark)
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licences.scan_licences(table(spark, sf_dir, "documents"), licences.templates(spark), path)
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.prepare(spark)
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    places = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", "n_units", "n_removed", places.alias("removed"), "text")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.prepare(spark)
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_neighbours": op3_neighbours,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
+    "op8_licences": op8_licences,
+    "op9_repeats": op9_repeats,
     "op10_jaccard_join": op10_jaccard_join,
 }
