@@ -48,6 +48,22 @@ def scan(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, rows: i
     return df.mapInArrow(run, struct)
 
 
+def rewrite(df: DataFrame, column: str, fn: Callable[[list], tuple[list | None, list[bool] | None]]) -> DataFrame:
+    """``df`` with the values of ``column`` replaced, or with some rows only: ``fn`` gets values of the column and
+    returns new ones (None: as they are) and which rows stay (None: all). Other columns pass through as they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                k = part.schema.get_field_index(column)
+                values, stay = fn(part.column(k).to_pylist())
+                if values is not None:
+                    part = part.set_column(k, part.schema.field(k), pa.array(values, part.schema.field(k).type))
+                yield part if stay is None else part.filter(pa.array(stay, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Rows of each run of equal first ``keys`` columns, without these; the rows come sorted by them."""
     now, rows = None, []

@@ -22,13 +22,15 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import scan
+from tidemark.llm.common import rewrite, scan
 
 UNKNOWN = "und"
 BUCKET_BITS = 17
 ORDERS = (2, 3, 4)
 SCRIPT_SHARE = 0.01
 LEARN_ROWS = 4_000
+#: What a change of language costs, in log probability.
+PENALTY = 12.0
 
 #: First and last code point of the larger scripts' blocks.
 SCRIPTS = (
@@ -187,40 +189,55 @@ def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: f
     return labels
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0,
-             with_spans: bool = True) -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang_pred, score and, if asked for, spans (lang, start, end in code
-    points), one for each stretch of words of one language. The model goes to each task."""
+def label_texts(model: Model, texts: list, penalty: float) -> tuple[list[str], list[float], list[list[dict]]]:
+    """Language, score and spans of each text."""
+    langs, scores, spans = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+    codes, starts, ends, owner, script, firsts = _words([t or "" for t in texts])
+    size = len(model.languages)
+    if not size or not len(starts):
+        return langs, scores, spans
+    count = np.bincount(owner, minlength=len(texts))
+    first = np.concatenate([[0], np.cumsum(count)])[:-1]
+    labels = viterbi(model.word_scores(codes, starts, ends, script), first, count, penalty)
+    letters = np.bincount(owner * size + labels, ends - starts, minlength=len(texts) * size).reshape(len(texts), size)
+    best, total = letters.argmax(1), letters.sum(1)
+    for i in np.flatnonzero(count):
+        langs[i] = model.languages[best[i]]
+        scores[i] = float(letters[i, best[i]] / total[i])
+    opens = np.flatnonzero(np.diff(labels, prepend=-1).astype(bool) | np.diff(owner, prepend=-1).astype(bool))
+    closes = np.concatenate([opens[1:], [len(labels)]]) - 1
+    for a, b in zip(opens.tolist(), closes.tolist(), strict=True):
+        i = owner[a]
+        spans[i].append({"lang": model.languages[labels[a]], "start": int(starts[a] - firsts[i]),
+                         "end": int(ends[b] - firsts[i])})
+    return langs, scores, spans
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
+             penalty: float = PENALTY) -> DataFrame:
+    """One row per row of ``docs``: doc_id, lang_pred, score and spans (lang, start, end in code points), one for each
+    stretch of words of one language. The model goes to each task."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(ids: list, texts: list) -> dict[str, list]:
-        model = shared.value
-        out = {"doc_id": ids, "lang_pred": [UNKNOWN] * len(ids), "score": [0.0] * len(ids), "spans": [[] for _ in ids]}
-        codes, starts, ends, owner, script, firsts = _words([t or "" for t in texts])
-        size = len(model.languages)
-        if not size or not len(starts):
-            return out
-        count = np.bincount(owner, minlength=len(ids))
-        first = np.concatenate([[0], np.cumsum(count)])[:-1]
-        labels = viterbi(model.word_scores(codes, starts, ends, script), first, count, penalty)
-        letters = np.bincount(owner * size + labels, ends - starts, minlength=len(ids) * size).reshape(len(ids), size)
-        best, total = letters.argmax(1), letters.sum(1)
-        for i in np.flatnonzero(count):
-            out["lang_pred"][i] = model.languages[best[i]]
-            out["score"][i] = float(letters[i, best[i]] / total[i])
-        if with_spans:
-            opens = np.flatnonzero(np.diff(labels, prepend=-1).astype(bool) | np.diff(owner, prepend=-1).astype(bool))
-            closes = np.concatenate([opens[1:], [len(labels)]]) - 1
-            for a, b in zip(opens.tolist(), closes.tolist(), strict=True):
-                i = owner[a]
-                out["spans"][i].append({"lang": model.languages[labels[a]], "start": int(starts[a] - firsts[i]),
-                                        "end": int(ends[b] - firsts[i])})
-        return out
+        langs, scores, spans = label_texts(shared.value, texts, penalty)
+        return {"doc_id": ids, "lang_pred": langs, "score": scores, "spans": spans}
+
+    return scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)), label,
+                f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, "
+                "spans array<struct<lang:string,start:int,end:int>>")
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least_share: float = 0.5,
+                    penalty: float = PENALTY) -> DataFrame:
+    """The rows of ``docs`` with a language that has at least ``least_share`` of the letters; all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def stay(texts: list) -> tuple[None, list[bool]]:
+        langs, scores, _ = label_texts(shared.value, texts, penalty)
+        return None, [name != UNKNOWN and score >= least_share for name, score in zip(langs, scores, strict=True)]
 
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double"
-    if with_spans:
-        schema += ", spans array<struct<lang:string,start:int,end:int>>"
-    return scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)), label, schema)
+    return rewrite(docs, text_col, stay)
 
 
 def training_part(id_col: str = "doc_id"):

@@ -22,7 +22,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.prepare(spark)
     docs = table(spark, sf_dir, "documents")
     model = language.learn(docs.filter(language.training_part()))
-    found = language.identify(docs, model, with_spans=False)
+    found = language.identify(docs, model)
     return found.select("doc_id", F.coalesce(~language.training_part(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 

@@ -21,7 +21,7 @@ import re
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import scan, spans_text
+from tidemark.llm.common import rewrite, scan, spans_text
 from tidemark.session import stage
 
 KINDS = ("assign", "access", "hex")
@@ -182,26 +182,29 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 f"doc_id {docs.schema[id_col].dataType.simpleString()}, base {spans}, spans {spans}", 4096)
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05,
-             mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every declared span of ``text_col`` replaced by ``mark``; other columns and rows stay.
-    A null text stays null."""
-    numbered = docs.select(F.struct(*docs.columns).alias("_all"), F.xxhash64(
-        F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = scan_secrets(docs.select(
-        F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key")).alias("id"),
-        F.col(text_col).alias("text")), "id", "text", rate)
-    hit = found.filter(F.size("spans") > 0).select("doc_id.id", "doc_id.key", "spans").dropDuplicates(["id", "key"])
-    joined = numbered.join(hit, numbered["_id"].eqNullSafe(hit["id"]) & (numbered["_key"] == hit["key"]), "left")
-    starts = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    merged = F.aggregate(starts, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
-            acc["out"], F.substring("_text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out")))
-    clean = F.when(F.col("spans").isNull(), F.col("_text")).otherwise(
-        F.concat(merged["out"], F.substring(F.col("_text"), merged["at"] + 1, F.length("_text"))))
-    joined = joined.withColumn("_clean", clean)
-    return joined.select(*[(F.col("_clean") if c == text_col else F.col("_all")[c]).alias(c) for c in docs.columns])
+def redacted(docs: DataFrame, text_col: str = "text", rate: float = 0.05, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every declared span of ``text_col`` replaced by ``mark`` (touching and nested ones by one); other columns
+    and all rows stay, a null text stays null. Two scans of the texts, no join."""
+    def examine(texts: list) -> dict[str, list]:
+        seen = [_examine(t or "") for t in texts]
+        return {"candidates": [x[1] for x in seen], "decoys": [x[2] for x in seen]}
+
+    examined = scan(docs.select(text_col), examine,
+                    f"candidates array<struct<{_TEST},start:int,end:int>>, decoys array<struct<{_TEST}>>")
+    cuts = _cuts(stage(examined.filter("size(candidates) > 0"), "examined"), rate)
+
+    def mask(text: str) -> str:
+        base, candidates, _ = _examine(text)
+        spans = [(s[0], s[2]) for s in base]
+        spans += [(c["start"], c["end"]) for c in candidates if c["step"] <= cuts.get((c["kind"], c["size"]), -1)]
+        out, at = [], 0
+        for start, end in sorted(spans):
+            if start > at or (start == at == 0):
+                out += [text[at:start], mark]
+            at = max(at, end)
+        return "".join(out) + text[at:]
+
+    return rewrite(docs, text_col, lambda texts: ([t if t is None else mask(t) for t in texts], None))
 
 
 def digest(found: DataFrame) -> DataFrame:
