@@ -30,7 +30,7 @@ from tidemark.session import stage
 #: Bins per feature: shares fall into steps of their square root, sizes into powers of two.
 BINS = 16
 FEATURES = ("upper", "lower", "digit", "mark", "bar", "blank", "non_ascii", "distinct", "repeated", "capital_words",
-            "word_length", "line_words", "words", "marked_words")
+            "stutter", "word_length", "line_words", "words", "marked_words")
 
 _CLASS = np.zeros(256, np.uint8)
 for _code in range(256):
@@ -49,7 +49,7 @@ def shape(text: str) -> list[int]:
     n = max(1, len(words))
     endings = sum(w[-1] in b"!#%&$*|" for w in words)
     shares = [*(classes[[0, 1, 2, 3, 4, 5, 6]] / total), len(set(words)) / n, 1 - len(set(lines)) / max(1, len(lines)),
-              sum(w.isupper() for w in words) / n]
+              sum(w.isupper() for w in words) / n, sum(map(bytes.__eq__, words, words[1:])) / n]
     sizes = [len(raw) / n, n / max(1, len(lines)), len(words)]
     bins = [min(BINS - 1, int(math.sqrt(s) * BINS)) for s in shares]
     bins += [min(BINS - 1, int(math.log2(1 + s))) for s in sizes]
