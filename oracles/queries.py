@@ -366,7 +366,7 @@ def resampled(src, value, order, at, extra=""):
     return f"""
     SELECT d.*, v.v FROM (SELECT *, {at} AS at_ FROM (
         SELECT row_number() OVER (ORDER BY {order}) - 1 AS pos, count(*) OVER () AS n {extra}
-        FROM {src} WHERE {value} IS NOT NULL), generate_series(0, 999) g(draw)) d
+        FROM {src} WHERE {value} IS NOT NULL), generate_series(0, 1999) g(draw)) d
     JOIN (SELECT {value} AS v, row_number() OVER (ORDER BY {order}) - 1 AS at_ FROM {src} WHERE {value} IS NOT NULL) v
     USING (at_)"""
 
@@ -429,6 +429,36 @@ oracle("deflated_sharpe_inputs", f"""
             SELECT avg(r) / stddev_samp(r) AS s FROM ({GRID}) GROUP BY top_n, cost)) v,
          (SELECT CAST(unnest([10, 30, 50, 80]) AS INTEGER) AS n_trials) t""",
        "streams book3 book5 book10 churn3 churn5 churn10 rets", "sr skew kurtosis trial_variance")
+
+
+def cdf(z):
+    """Normal distribution function: Simpson's rule from 0 to z."""
+    return (f"(0.5 + {z} / 6000.0::DOUBLE / sqrt(2 * pi()) * list_sum(list_transform(range(2001), lambda i: "
+            f"(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow({z} * i / 2000.0::DOUBLE, 2) / 2))))")
+
+
+def psr_z(bench):
+    return (f"(sharpe - {bench}) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe))")
+
+
+NET = moments('(SELECT net AS r FROM streams WHERE net IS NOT NULL)')
+oracle("probabilistic_sharpe", f"SELECT n, sharpe, {cdf('z')} AS psr FROM (SELECT n, sharpe, {psr_z('0')} AS z FROM ({NET}))",
+       "streams", "sharpe psr")
+# Quantiles by Newton's steps, which rise to the root from below.
+QUANTILES = f"""
+    WITH RECURSIVE steps AS (
+      SELECT CAST(t AS INTEGER) AS n_trials, far, CASE WHEN far THEN 1 - 1.0::DOUBLE / t ELSE 1 - 1 / (t * exp(1)) END AS p,
+             0.0::DOUBLE AS x, 0 AS k FROM (SELECT unnest([10, 30, 50, 80]) AS t), (SELECT unnest([true, false]) AS far)
+      UNION ALL SELECT n_trials, far, p, x - ({cdf('x')} - p) * sqrt(2 * pi()) * exp(x * x / 2), k + 1 FROM steps WHERE k < 30)
+    SELECT n_trials, sum(x * CASE WHEN far THEN 1 - 0.5772156649015329::DOUBLE ELSE 0.5772156649015329::DOUBLE END) AS blend
+    FROM steps WHERE k = 30 GROUP BY n_trials"""
+oracle("deflated_sharpe", f"""
+    SELECT n_trials, n, sharpe AS sr, skew, kurtosis, trial_variance, sr0, z, {cdf('z')} AS dsr FROM (
+      SELECT *, {psr_z('sr0')} AS z FROM (
+        SELECT q.n_trials, m.*, v.trial_variance, sqrt(v.trial_variance) * q.blend AS sr0 FROM ({NET}) m,
+             (SELECT var_samp(s) AS trial_variance FROM (
+                SELECT avg(r) / stddev_samp(r) AS s FROM ({GRID}) GROUP BY top_n, cost)) v, ({QUANTILES}) q))""",
+       "streams book3 book5 book10 churn3 churn5 churn10 rets", "sr skew kurtosis trial_variance sr0 z dsr")
 oracle("random_null", 'SELECT * FROM null_dist', "null_dist", "ann_return sharpe")
 BOTHNULL = """SELECT 'ann_return' AS statistic, ann_return AS value FROM null_dist
               UNION ALL SELECT 'sharpe', sharpe FROM null_dist """

@@ -184,7 +184,7 @@ view("fin_periods", """
     SELECT k, CAST(date_trunc('quarter', date) + INTERVAL 3 MONTHS - INTERVAL 1 DAY AS DATE) AS period_end,
            'quarterly' AS freq, sum(price) AS price, sum(price * (100 - off) - 150 * qty * retail) AS income,
            sum(price * tax) AS debt
-    FROM fin_lines WHERE date >= DATE '1997-01-01' GROUP BY ALL
+    FROM fin_lines GROUP BY ALL
     UNION ALL
     SELECT k, CAST(date_trunc('year', date) + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE), 'annual',
            sum(price), sum(price * (100 - off) - 150 * qty * retail), sum(price * tax)
@@ -393,7 +393,7 @@ view("ics", """
 
 
 def draw(*parts):
-    return f"CAST(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8)) AS BIGINT)"
+    return f"CAST(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15)) AS BIGINT)"
 
 
 view("permuted", f"""
@@ -401,7 +401,7 @@ view("permuted", f"""
            CASE WHEN draw < 0 THEN label ELSE CAST(row_number() OVER (
              PARTITION BY draw, rebalance_date ORDER BY {draw('0', 'draw', 'rebalance_date', 'ticker')}, ticker)
              <= sum(label) OVER (PARTITION BY draw, rebalance_date) AS INTEGER) END AS y
-    FROM (SELECT l.*, b.ticker IS NOT NULL AS pick, unnest(generate_series(-1, 49)) AS draw
+    FROM (SELECT l.*, b.ticker IS NOT NULL AS pick, unnest(generate_series(-1, 99)) AS draw
           FROM label_ranks l LEFT JOIN book3 b USING (rebalance_date, ticker))""", "label_ranks", "book3")
 view("perm_draws", """
     SELECT CAST(draw AS INTEGER) AS draw, avg(auc) AS mean_auc, avg(precision) AS precision FROM (
@@ -425,7 +425,7 @@ view("floyd", f"""
         SELECT *, h0 % (n - 2) AS p0 FROM (
           SELECT draw, rebalance_date, n, {draw('0', 'draw', 'rebalance_date', '0')} AS h0,
                  {draw('0', 'draw', 'rebalance_date', '1')} AS h1, {draw('0', 'draw', 'rebalance_date', '2')} AS h2
-          FROM (SELECT DISTINCT rebalance_date, n FROM numbered), generate_series(0, 199) g(draw))))""", "numbered")
+          FROM (SELECT DISTINCT rebalance_date, n FROM numbered), generate_series(0, 499) g(draw))))""", "numbered")
 view("null_books", """
     SELECT draw, f.rebalance_date, ticker, 1.0::DOUBLE / 3 AS weight
     FROM floyd f JOIN numbered m ON m.rebalance_date = f.rebalance_date AND m.pos IN (p0, p1, p2)""", "floyd", "numbered")

@@ -1,6 +1,6 @@
 """Reproducible random draws as column expressions.
 
-A draw is the first 32 bits of the md5 of its coordinates, so the same (seed, draw, key) gives
+A draw is the first 60 bits of the md5 of its coordinates, so the same (seed, draw, key) gives
 the same number on any partitioning, after a retry, and in any engine that has md5.
 """
 
@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-SPAN = 1 << 32
+BITS = 60
 
 
 def uniform_int(*parts) -> Column:
-    """Uniform integer in ``[0, 2**32)`` from the given coordinates."""
+    """Uniform integer in ``[0, 2**60)`` from the given coordinates."""
     text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

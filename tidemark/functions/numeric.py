@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
@@ -35,8 +33,11 @@ def rounded(df: DataFrame, digits: int = 6, **overrides: int) -> DataFrame:
     ])
 
 
-def add_all(columns) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def null_safe_join(left: DataFrame, right: DataFrame, by, how: str = "inner") -> DataFrame:
+    """An equi-join on ``by`` in which NULL equals NULL, so that the rows of a NULL group stay."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in by]
+    return left.join(renamed, same, how).drop(*[f"_r_{c}" for c in by])
 
 
 def full_window(value: Column, seen: Column, size: int) -> Column:

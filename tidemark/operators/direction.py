@@ -133,7 +133,7 @@ def pooled_walk_forward(panel: DataFrame, kind: str = "logistic", horizon: int =
         stats = training_stats(train, names)
         if stats["n"] < min_train or stats["ones"] in (0, stats["n"]):
             return False
-        train = session.fitted_to(train, stats["n"]).persist()
+        train = session.training_layout(train, ["ticker", "date"]).persist()
         try:
             fitted = _model(kind, calibrate, method, options).fit(train, names, stats)
             now = staged.where((F.col("date") == F.lit(day)) & F.col("label").isNotNull()).dropna(subset=names)
@@ -150,14 +150,16 @@ def pooled_walk_forward(panel: DataFrame, kind: str = "logistic", horizon: int =
     return spark.read.parquet(out).select("ticker", "date", "prob_up", "actual")
 
 
-def latest_rows(panel: DataFrame) -> DataFrame:
-    return indicators.latest(panel.dropna(subset=feature_names(panel)))
+def latest_rows(panel: DataFrame, as_of=None) -> DataFrame:
+    warm = panel.dropna(subset=feature_names(panel))
+    return indicators.latest(warm if as_of is None else warm.where(F.col("date") <= F.lit(as_of).cast("date")))
 
 
 def forecast_latest(panel: DataFrame, kind: str = "baseline", horizon: int = 5, years: int = 3, as_of=None,
                     calibrate: bool = False, method: str = "sigmoid", options: dict | None = None) -> DataFrame:
-    """P(up) and direction at each stock's newest warm row, from the baseline or one pooled model."""
-    last = latest_rows(panel)
+    """P(up) and direction at each stock's newest warm row up to ``as_of``, from the baseline or one pooled
+    model. A model without a single training row, or with one class only, is an error."""
+    last = latest_rows(panel, as_of)
     if kind == "baseline":
         scored = last.withColumn("prob_up", baseline_probability())
     else:
@@ -165,8 +167,13 @@ def forecast_latest(panel: DataFrame, kind: str = "baseline", horizon: int = 5,
         day = as_of or panel.agg(F.max("date")).first()[0]
         train = _training_rows(panel, names, day, horizon, years)
         stats = training_stats(train, names)
-        train = session.fitted_to(train, stats["n"]).persist()
-        fitted = _model(kind, calibrate, method, options).fit(train, names, stats)
+        if stats["ones"] in (0, stats["n"]):
+            raise ValueError("no training rows of both classes before the forecast")
+        train = session.training_layout(train, ["ticker", "date"]).persist()
+        try:
+            fitted = _model(kind, calibrate, method, options).fit(train, names, stats)
+        finally:
+            train.unpersist()
         scored = fitted.score(last).withColumnRenamed("score", "prob_up")
     return scored.select("ticker", F.col("date").alias("as_of"), "prob_up",
                          F.when(F.col("prob_up") >= 0.5, "up").otherwise("down").alias("direction"))

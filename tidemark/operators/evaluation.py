@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark import session
 from tidemark.functions.numeric import safe_div
 from tidemark.operators import asof, ranks
 from tidemark.operators.selection import DATE, top_n
@@ -113,7 +114,7 @@ def information_summary(by_date: DataFrame) -> DataFrame:
 def long_short(pairs: DataFrame, quantile: float = 0.1) -> DataFrame:
     """Equal-weight return of the top share of scores minus that of the bottom share, per date.
 
-    Equal scores are ordered by md5 of the ticker; only names tied with the score at an edge are
+    Dates on which no name has a return are left out. Equal scores are ordered by md5 of the ticker; only names tied with the score at an edge are
     ordered at all. ``pairs`` is read several times: stage it first.
     """
     scored = pairs.where(F.col("score").isNotNull())
@@ -132,7 +133,8 @@ def long_short(pairs: DataFrame, quantile: float = 0.1) -> DataFrame:
     leg = lambda side: F.coalesce(F.avg(F.when(F.col("side") == side, F.col("ret"))), F.lit(0.0))
     legs = whole.select(cols).unionByName(part.select(cols)).groupBy(DATE).agg(
         leg("long").alias("long_ret"), leg("short").alias("short_ret"))
-    return legs.withColumn("spread", F.col("long_ret") - F.col("short_ret"))
+    returns = pairs.where(F.col("ret").isNotNull()).select(DATE).distinct()
+    return legs.join(returns, DATE, "left_semi").withColumn("spread", F.col("long_ret") - F.col("short_ret"))
 
 
 # ---- direction predictions ---------------------------------------------------------------------
@@ -209,25 +211,25 @@ def selective_accuracy(predictions: DataFrame, by=(), coverages=COVERAGES) -> Da
     the one level a cut falls into, predictions are taken in md5 order of (ticker, date).
     """
     by = list(by) or ["_all"]
-    # Cuts are one row per group and coverage: a constant size unless the groups are data keys.
-    small = F.broadcast if by == ["_all"] else (lambda d: d)
     rows = predictions.withColumn("_all", F.lit(1)).withColumn(
         "confidence", F.abs(F.col("prob_up") - 0.5)).withColumn(
         "hit", ((F.col("prob_up") >= 0.5).cast("int") == F.col("actual")).cast("bigint"))
     share = F.avg(F.col("actual").cast("double"))
     totals = rows.groupBy(*by).agg(F.count("*").alias("total"), F.greatest(share, 1 - share).alias("base_rate"))
     keep = lambda c: F.greatest(F.lit(1), F.bround(F.col("total") * F.lit(c)).cast("bigint"))
-    cuts = totals.select(*by, "base_rate", F.inline(F.array(*[
-        F.struct(F.lit(float(c)).alias("coverage"), keep(float(c)).alias("keep")) for c in coverages])))
+    # Staged, so that the key is a column even where it is a constant, and joins stay hash joins.
+    cuts = session.stage(totals.select(*by, "base_rate", F.inline(F.array(*[
+        F.struct(F.lit(float(c)).alias("coverage"), keep(float(c)).alias("keep")) for c in coverages]))), "cuts")
     levels = (rows.groupBy(*by, "confidence").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
               .withColumn("_doubt", -F.col("confidence")))
     cell = F.floor((F.lit(0.5) - F.col("confidence")) * PROBABILITY_GRID)
-    levels = _running_before(levels, by, "_doubt", ["n", "hits"], cell)
-    edge = levels.join(small(cuts), by).where(
+    levels = session.stage(_running_before(levels, by, "_doubt", ["n", "hits"], cell), "levels")
+    edge = levels.join(cuts, by).where(
         (F.col("before_n") < F.col("keep")) & (F.col("before_n") + F.col("n") >= F.col("keep"))
     ).withColumn("take", F.col("keep") - F.col("before_n"))
+    edge = session.stage(edge, "edge")
     split = edge.where(F.col("take") < F.col("n")).select(*by, "confidence", "coverage", "take")
-    tied = rows.join(small(split), [*by, "confidence"]).withColumn(
+    tied = rows.join(split, [*by, "confidence"]).withColumn(
         "_name", F.concat_ws("|", "ticker", F.col("date").cast("string")))
     part = (ranks.hash_positions(tied.select(*by, "coverage", "take", "hit", "_name"), [*by, "coverage"], "_name")
             .where(F.col("position") < F.col("take"))

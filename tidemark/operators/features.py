@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark import schemas
-from tidemark.functions.numeric import safe_div
+from tidemark import schemas, session
+from tidemark.functions.numeric import null_safe_join, safe_div
 from tidemark.operators import asof, fundamentals as fund, indicators, ranks
 
 MIN_NAMES = 10
@@ -117,13 +117,13 @@ def normalise(matrix: DataFrame, method: str = "rank", columns=None, sectors: Da
 
 
 def _zscores(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """Means and deviations per date (and sector) are partial aggregates; the result has one row
-    per date and sector and is broadcast."""
+    """Means and deviations per date (and sector) are partial aggregates, staged so that Spark sees
+    their size when it chooses the join."""
     stats = df.groupBy(*by).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
                                 *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols])
     z = {c: F.when(F.col(f"_s_{c}") > 1e-15 * F.abs(f"_m_{c}"),
                    safe_div(F.col(c) - F.col(f"_m_{c}"), f"_s_{c}")) for c in cols}
-    return df.join(F.broadcast(stats), by).select(
+    return null_safe_join(df, session.stage(stats, "zscore_stats"), by).select(
         *[z[c].alias(c) if c in z else F.col(c) for c in df.columns])
 
 

@@ -11,14 +11,14 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark import session
-from tidemark.functions.draws import SPAN, uniform_int
+from tidemark.functions.draws import BITS, uniform_int
 from tidemark.functions.normal import normal_cdf, normal_quantile
 from tidemark.operators import ranks, selection
 from tidemark.operators.metrics import annualised, growth, nonzero_std
 from tidemark.operators.selection import DATE
 
 EULER_MASCHERONI = 0.5772156649015329  # fixed value
-ROWS_PER_CELL, MAX_CELLS = 64, 1024
+ROWS_PER_CELL = 64
 
 
 def _draws(df: DataFrame, n: int) -> DataFrame:
@@ -44,12 +44,12 @@ def permutation_draws(scored: DataFrame, n: int = 3, draws: int = 100, seed: int
         "permutation")
     dates = base.groupBy(DATE).agg(
         F.count("*").alias("n"), F.sum("label").alias("n1"), F.sum("_pick").alias("n_picks"))
-    dates = dates.withColumn("_cells", F.least(F.lit(MAX_CELLS), F.ceil(F.col("n") / ROWS_PER_CELL)))
+    dates = dates.withColumn("_cells", F.ceil(F.col("n") / ROWS_PER_CELL))
     # One row per date.
     known = session.spread(base).join(F.broadcast(dates.select(DATE, "n1", "_cells")), DATE)
     number = uniform_int(F.lit(seed), F.col("draw"), F.col(DATE), F.col("ticker"))
     drawn = (_draws(known, draws).withColumn("_u", number)
-             .withColumn("_cell", F.floor(F.col("_u") * F.col("_cells") / F.lit(SPAN)).cast("int")))
+             .withColumn("_cell", F.shiftright(F.shiftright("_u", BITS - 31) * F.col("_cells"), 31)))
     cells = drawn.groupBy("draw", DATE, "n1", "_cell").agg(
         F.count("*").alias("_held"), F.sum("avg_rank").alias("_ranks"), F.sum("_pick").alias("_picks"))
     before = F.coalesce(F.sum("_held").over(
@@ -57,8 +57,7 @@ def permutation_draws(scored: DataFrame, n: int = 3, draws: int = 100, seed: int
     cells = session.stage(cells.withColumn("_before", before).where(F.col("_before") < F.col("n1")), "cells")
     whole = cells.where(F.col("_before") + F.col("_held") <= F.col("n1")).select("draw", DATE, "_ranks", "_picks")
     edge = cells.where(F.col("_before") + F.col("_held") > F.col("n1")).select("draw", DATE, "_cell", "_before")
-    # One row per draw and date: a size set by the caller and the calendar.
-    inside = drawn.join(F.broadcast(edge), ["draw", DATE, "_cell"])
+    inside = drawn.join(edge, ["draw", DATE, "_cell"])
     place = F.row_number().over(Window.partitionBy("draw", DATE).orderBy("_u", "ticker"))
     part = (inside.withColumn("_place", place).where(F.col("_before") + F.col("_place") <= F.col("n1"))
             .select("draw", DATE, F.col("avg_rank").alias("_ranks"), F.col("_pick").cast("bigint").alias("_picks")))
@@ -272,7 +271,8 @@ def quantile_summary(values: DataFrame, columns) -> DataFrame:
 
 
 def locate_in_null(null: DataFrame, real: DataFrame, columns) -> DataFrame:
-    """Percentile of the real value among the draws and its one-sided p-value. ``real`` is one row."""
+    """Percentile of the real value among the draws and its one-sided p-value; both NULL without a real
+    value or without draws. ``real`` is one row."""
     pair = lambda df, name: df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("statistic"), F.col(c).alias(name)) for c in columns])))
     both = pair(null, "value").join(F.broadcast(pair(real, "real")), "statistic")
@@ -280,7 +280,8 @@ def locate_in_null(null: DataFrame, real: DataFrame, columns) -> DataFrame:
     return both.groupBy("statistic").agg(
         F.max("real").alias("real"), n.alias("n"),
         (100 * F.avg((F.col("value") < F.col("real")).cast("double"))).alias("percentile"),
-        ((F.count_if(F.col("value") >= F.col("real")) + 1) / (n + 1)).alias("p_value"))
+        F.when((n > 0) & F.max("real").isNotNull(),
+               (F.count_if(F.col("value") >= F.col("real")) + 1) / (n + 1)).alias("p_value"))
 
 
 def histogram(values: DataFrame, column: str, real: float | None = None, bins: int = 20) -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import session
+from tidemark.functions.numeric import null_safe_join
 
 SAMPLE_ONE_IN = 4096
 SLICES = 64
@@ -53,7 +54,7 @@ def ranked(df: DataFrame, by, value: str, key, one_in: int = SAMPLE_ONE_IN, slic
     """
     by, key = list(by), list(key)
     cuts = session.stage(_cut_points(df, by, value, key, one_in, slices), "cuts")
-    sliced = (df.where(F.col(value).isNotNull()).join(cuts, by, "left")
+    sliced = (null_safe_join(df.where(F.col(value).isNotNull()), cuts, by, "left")
               .withColumn("_slice", _slice(F.col(value))).drop("_cuts"))
     w_group = Window.partitionBy(*by)
     offsets = (
@@ -62,7 +63,7 @@ def ranked(df: DataFrame, by, value: str, key, one_in: int = SAMPLE_ONE_IN, slic
         .withColumn("_before", F.sum("_held").over(
             w_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)))
     )
-    rows = sliced.join(session.stage(offsets, "offsets"), [*by, "_slice"])
+    rows = null_safe_join(sliced, session.stage(offsets, "offsets"), [*by, "_slice"])
     is_point = F.col("_slice") % 2 == 1
     salt = F.when(is_point, F.pmod(F.xxhash64(*key), F.lit(SALTS))).otherwise(0)
     rows = rows.withColumn("_salt", salt)
@@ -112,7 +113,7 @@ def hash_positions(df: DataFrame, by, key: str = "ticker") -> DataFrame:
                  w_group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
              .drop("_held"))
     inner = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy("_md5", key)) - 1
-    return (rows.withColumn("_inner", inner).join(cells, [*by, "_cell"])
+    return (null_safe_join(rows.withColumn("_inner", inner), cells, [*by, "_cell"])
             .withColumn("position", F.col("_before") + F.col("_inner"))
             .drop("_md5", "_cell", "_inner", "_before"))
 

@@ -280,7 +280,7 @@ def audit_violations(sentences: DataFrame) -> DataFrame:
     return sentences.where(F.col("matched") & ~F.col("ok")).select("ticker", "date", "label", "sentence")
 
 
-def unmatched_examples(sentences: DataFrame, n: int = 10) -> DataFrame:
-    """The most common sentences without a checkable claim, by their first 70 characters."""
-    return (sentences.where(~F.col("matched")).groupBy(F.substring("sentence", 1, 70).alias("sentence"))
-            .count().orderBy(F.col("count").desc(), "sentence").limit(n))
+def unmatched_examples(sentences: DataFrame, n: int | None = None) -> DataFrame:
+    """Sentences without a checkable claim and how often they occur; the ``n`` most common if asked for."""
+    found = sentences.where(~F.col("matched")).groupBy("sentence").count()
+    return found if n is None else found.orderBy(F.col("count").desc(), "sentence").limit(n)

@@ -505,30 +505,30 @@ def long_short(m):
 
 @query
 def permutation_draws(m):
-    return montecarlo.permutation_draws(m.scored, 3, 50)
+    return montecarlo.permutation_draws(m.scored, 3)
 
 
 @query
 def permutation_test(m):
-    return montecarlo.permutation_test(montecarlo.permutation_draws(m.scored, 3, 50))
+    return montecarlo.permutation_test(montecarlo.permutation_draws(m.scored, 3))
 
 
 @query
 def bootstrap_auc(m):
     aucs = session.stage(evaluation.auc_by_date(m.scored), "aucs")
-    return montecarlo.bootstrap_mean(aucs, "auc", DATE, draws=1000)
+    return montecarlo.bootstrap_mean(aucs, "auc", DATE)
 
 
 @query
 def block_bootstrap(m):
     streams = session.stage(m.streams, "streams")
-    return montecarlo.block_bootstrap(streams, "net", "entry_date", draws=1000)
+    return montecarlo.block_bootstrap(streams, "net", "entry_date")
 
 
 @query
 def plain_bootstrap(m):
     streams = session.stage(m.streams, "streams")
-    return montecarlo.block_bootstrap(streams, "net", "entry_date", draws=1000, block=1)
+    return montecarlo.block_bootstrap(streams, "net", "entry_date", block=1)
 
 
 @query
@@ -558,35 +558,35 @@ def deflated_sharpe_inputs(m):
         "n_trials", "n", "sr", "skew", "kurtosis", "trial_variance")
 
 
-def _null(m, draws: int):
+def _null(m):
     cells = selection.candidates(session.stage(
         features.feature_matrix(m.bars, None, m.calendar).select(*features.KEYS), "cells"), 13)
     periods = evaluation.holding_periods(m.scores)
     returns = session.stage(asof.period_returns(m.bars, periods).select(
         "ticker", "entry_date", "exit_date", "ret"), "returns")
-    return montecarlo.random_null(cells, returns, 3, draws)
+    return montecarlo.random_null(cells, returns, 3)
 
 
 @query
 def random_null(m):
-    return _null(m, 200)
+    return _null(m)
 
 
 @query
 def random_null_summary(m):
-    return montecarlo.quantile_summary(_null(m, 200), ["ann_return", "sharpe"])
+    return montecarlo.quantile_summary(_null(m), ["ann_return", "sharpe"])
 
 
 @query
 def located_in_null(m):
-    null = session.stage(_null(m, 200), "null")
+    null = session.stage(_null(m), "null")
     real = montecarlo.null_statistics(m.streams.withColumn("draw", F.lit(-1)))
     return montecarlo.locate_in_null(null, real, ["ann_return", "sharpe"])
 
 
 @query
 def null_histogram(m):
-    draws = montecarlo.permutation_draws(m.scored, 3, 50).where(F.col("draw") >= 0)
+    draws = montecarlo.permutation_draws(m.scored, 3).where(F.col("draw") >= 0)
     return montecarlo.histogram(session.stage(draws, "draws"), "mean_auc")
 
 

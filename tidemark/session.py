@@ -72,10 +72,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
-ROWS_PER_TASK = 50_000
+TRAIN_PARTITIONS = 8
 
 
-def fitted_to(df: DataFrame, rows: int) -> DataFrame:
-    """No more partitions than ``rows`` need. Iterative fits run many jobs over the same rows; on a
-    small training set the tasks would cost more than the work."""
-    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+def training_layout(df: DataFrame, key: list[str], partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+    """Rows dealt by a hash of ``key`` into a stated number of partitions and sorted inside. Learners
+    that draw samples per partition then give the same model for any layout of the input; raise
+    ``partitions`` for training sets of many millions of rows."""
+    return df.repartition(partitions, *key).sortWithinPartitions(*key)

@@ -77,8 +77,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = quarters.groupBy("l_suppkey", F.trunc("quarter", "year").alias("year")).agg(
         F.sum("price").alias("price"), F.sum("income").alias("income"), F.sum("debt").alias("debt"))
     periods = (
-        quarters.where(F.col("quarter") >= F.lit("1997-01-01").cast("date"))
-        .select("l_suppkey", F.last_day(F.add_months("quarter", 2)).alias("period_end"),
+        quarters.select("l_suppkey", F.last_day(F.add_months("quarter", 2)).alias("period_end"),
                 F.lit("quarterly").alias("freq"), "price", "income", "debt")
         .unionByName(years.select(
             "l_suppkey", F.last_day(F.add_months("year", 11)).alias("period_end"),
@@ -117,14 +116,15 @@ def statement_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier with its region; some come with a blank sector, as providers deliver them."""
     supplier = table(spark, sf_dir, "supplier")
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
     return (
-        supplier.where(F.col("s_suppkey") % 11 != 0)
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(_ticker(F.col("s_suppkey")).alias("ticker"), F.trim("r_name").alias("sector"))
+        .select(_ticker(F.col("s_suppkey")).alias("ticker"),
+                F.when(F.col("s_suppkey") % 11 == 0, F.lit("  ")).otherwise(F.trim("r_name")).alias("sector"))
     )
 
 
