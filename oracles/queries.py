@@ -560,3 +560,13 @@ oracle("stream_sentiment", """
       AND as_of <= (SELECT max(published_at) FROM heads) - INTERVAL 1 DAY
     GROUP BY ALL""", "heads", "sentiment")
 oracle("stream_positions", "SELECT ticker, date, score, position FROM signals", "signals")
+oracle("deduplicated_technical_frame", "SELECT * FROM tech", "tech", "close " + TECH)
+oracle("training_spans", """
+    SELECT a.rebalance_date, min(b.rebalance_date) AS train_start, max(b.rebalance_date) AS train_end,
+           CAST(sum(b.n) AS BIGINT) AS n_train, CAST(sum(b.ones) AS BIGINT) AS n_positive,
+           sum(b.ones)::DOUBLE / nullif(sum(b.n), 0) AS share_positive
+    FROM (SELECT rebalance_date, row_number() OVER (ORDER BY rebalance_date) - 1 AS k FROM matrix GROUP BY 1) a
+    JOIN (SELECT rebalance_date, row_number() OVER (ORDER BY rebalance_date) - 1 AS k, count(label) AS n,
+                 coalesce(sum(label), 0) AS ones
+          FROM matrix LEFT JOIN labels USING (rebalance_date, ticker) GROUP BY 1) b ON b.k BETWEEN a.k - 12 AND a.k - 1
+    WHERE a.k >= 3 GROUP BY a.rebalance_date""", "matrix labels", "share_positive")

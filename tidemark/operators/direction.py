@@ -125,7 +125,7 @@ def pooled_walk_forward(panel: DataFrame, kind: str = "logistic", horizon: int =
     names = feature_names(panel)
     staged = session.stage(panel.select("ticker", "date", "label", *names), "direction_panel")
     days = [r["date"] for r in sampled_dates(staged, step, start).orderBy("date").collect()]
-    out = f"{session.stage_dir(spark)}/direction-{uuid.uuid4().hex}"
+    out = f"{session.run_dir(spark)}/direction-{uuid.uuid4().hex}"
 
     def one(k: int) -> bool:
         day = days[k]

@@ -161,7 +161,8 @@ def latest_cross_event(df: DataFrame) -> DataFrame:
 
 
 def technical_frame(bars: DataFrame) -> DataFrame:
-    """All technical features per (ticker, date)."""
+    """All technical features per (ticker, date). ``bars`` holds one row of each; ``load_prices`` with an
+    ingest column sees to that."""
     keep = [c for c in ("high", "low") if c in bars.columns]
     base = bars.select("ticker", "date", *keep, "close").where(F.col("close").isNotNull())
     plain = base.select(

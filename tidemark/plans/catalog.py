@@ -229,6 +229,14 @@ def latest_cross_event(m):
     return indicators.latest_cross_event(indicators.add_moving_averages(m.raw))
 
 
+@query
+def deduplicated_technical_frame(m):
+    """Each bar delivered twice, first with a wrong close: the later delivery counts."""
+    late = m.raw.withColumn("delivered", F.lit(2))
+    early = m.raw.withColumn("close", F.col("close") * 2).withColumn("delivered", F.lit(1))
+    return indicators.technical_frame(tables.load_prices(early.unionByName(late), ingest="delivered"))
+
+
 @query
 def technical_frame(m):
     return indicators.technical_frame(tables.load_prices(m.raw))
@@ -719,7 +727,7 @@ def per_stock_logistic(m):
 def _drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return what it emitted, as a table."""
     spark = stream.sparkSession
-    base = session.stage_dir(spark)
+    base = session.run_dir(spark)
     tag = uuid.uuid4().hex
     q = (stream.writeStream.format("parquet").outputMode(mode).trigger(availableNow=True)
          .option("path", f"{base}/stream-{tag}").option("checkpointLocation", f"{base}/stream-{tag}-state").start())
@@ -798,3 +806,8 @@ def pooled_direction(m):
 @query
 def pooled_direction_latest(m):
     return direction.forecast_latest(session.stage(m.panel, "panel"), "logistic", calibrate=True)
+
+
+@query
+def training_spans(m):
+    return walk_forward.training_spans(m.matrix, m.labels)

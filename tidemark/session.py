@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,15 +39,28 @@ def stage_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can read")
     folder = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Folder of everything this application stages."""
+    return f"{stage_dir(spark)}/run-{spark.sparkContext.applicationId}"
+
+
+def end_run(spark: SparkSession) -> None:
+    """Delete what this application has staged. Call it when no result of the run is read any more."""
+    spark.catalog.clearCache()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_stage(df: DataFrame, name: str, by: list[str] | None = None) -> str:
     """Write ``df`` under the shared folder and return its path. ``by`` partitions the table, for
     readers that want few of the values; rows are range-partitioned over ``by`` and the next
     column, so a hot value spans many tasks."""
-    path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     if by:
         rest = [c for c in df.columns if c not in by][:1]
         df.repartitionByRange(*by, *rest).write.partitionBy(*by).parquet(path)

@@ -80,12 +80,17 @@ def read_price_files(spark: SparkSession, path: str) -> DataFrame:
     return schemas.conform(named.where(F.col("date").isNotNull()), schemas.BARS)
 
 
-def load_prices(bars: DataFrame, tickers=None, start=None, end=None, adjust: bool = True) -> DataFrame:
+def load_prices(bars: DataFrame, tickers=None, start=None, end=None, adjust: bool = True,
+                ingest: str | None = None) -> DataFrame:
     """Price scan: wanted tickers, priced rows, total-return basis, date window.
 
-    The window applies before any indicator, so it is pushed into the scan.
+    The window applies before any indicator, so it is pushed into the scan. ``ingest`` names the column
+    that orders deliveries: of several priced rows of a ticker and day the last delivered stays. Without it
+    the table must hold one row per ticker and day.
     """
     df = drop_missing_close(keep_tickers(date_window(bars, start, end), tickers))
+    if ingest:
+        df = last_per_day(df, ingest)
     return total_return_basis(df) if adjust else df
 
 
