@@ -14,9 +14,7 @@ def spark(tmp_path_factory):
     from tidemark import session
     s = session.build("tests", "local[4]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
-        "spark.ui.showConsoleProgress": "false"})
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("stages")))
+        "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("stages"))})
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()

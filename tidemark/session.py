@@ -27,6 +27,9 @@ def build(app: str = "tidemark", master: str | None = None, **conf: str) -> Spar
     return prepare(builder.getOrCreate())
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def stage_dir(spark: SparkSession) -> str:
     """The shared folder for staged tables: ``spark.checkpoint.dir``.
 
@@ -35,12 +38,14 @@ def stage_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
+        return configured.rstrip("/")
+    if own := _own_dirs.get(spark.sparkContext.applicationId):
+        return own
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can read")
     folder = tempfile.mkdtemp(prefix="tidemark-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", folder)
+    _own_dirs[spark.sparkContext.applicationId] = folder
     return folder
 
 
