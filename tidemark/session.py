@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,18 +56,39 @@ def run_dir(spark: SparkSession) -> str:
     return f"{stage_dir(spark)}/run-{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def end_run(spark: SparkSession) -> None:
     """Delete what this application has staged. Call it when no result of the run is read any more."""
     spark.catalog.clearCache()
-    folder = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, run_dir(spark))
+
+
+_scopes: list[str] = []
+
+
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """What is staged inside goes to a folder of that name, for ``end_scope`` to delete on its own."""
+    _scopes.append(name)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
+def end_scope(spark: SparkSession, name: str) -> None:
+    _delete(spark, f"{run_dir(spark)}/{name}")
 
 
 def write_stage(df: DataFrame, name: str, by: list[str] | None = None) -> str:
     """Write ``df`` under the shared folder and return its path. ``by`` partitions the table, for
     readers that want few of the values; rows are range-partitioned over ``by`` and the next
     column, so a hot value spans many tasks."""
-    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = "/".join([run_dir(df.sparkSession), *_scopes[-1:], f"{name}-{uuid.uuid4().hex}"])
     if by:
         rest = [c for c in df.columns if c not in by][:1]
         df.repartitionByRange(*by, *rest).write.partitionBy(*by).parquet(path)
