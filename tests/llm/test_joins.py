@@ -163,6 +163,8 @@ def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = [(10 ** 6, "123 456 !!", "en", "s", 10), (10 ** 6 + 1, None, "en", "s", 0)]
     docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    for name in ("_id", "_key", "_row", "n_words", "spans", "component_id"):
+        docs = docs.withColumn(name, F.lit("x"))
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     for name, stage in corpus_pipeline.STAGES:
         before = {r["doc_id"]: r for r in docs.collect()}

@@ -94,17 +94,19 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     both = stage(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").selectExpr("b", "a")).distinct(),
                  f"{name}-edges")
     roots = stage(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), f"{name}-roots")
+    # Roots are two values a node: below the limit they go to each task, and a round shuffles twice.
+    light = F.broadcast if roots.count() <= BROADCAST_ROWS else (lambda df: df)
     while True:
         seen = roots.select(F.col("node").alias("b"), F.col("root").alias("near"))
-        best = (both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-                .join(roots, "node")
+        best = (both.join(light(seen), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+                .join(light(roots), "node")
                 .select("node", F.col("root").alias("old"), F.least("near", "root").alias("low")))
         jump = roots.select(F.col("node").alias("low"), F.col("root").alias("up"))
         # A root learns what its nodes have found, so that whole trees move at once.
-        moved = stage(best.join(jump, "low", "left")
+        moved = stage(best.join(light(jump), "low", "left")
                       .select("node", "old", F.least("low", F.coalesce("up", "low")).alias("root")), f"{name}-moved")
         pushed = (moved.filter("root < old").groupBy(F.col("old").alias("node")).agg(F.min("root").alias("pushed")))
-        after = stage(moved.join(pushed, "node", "left")
+        after = stage(moved.join(light(pushed), "node", "left")
                       .select("node", "old", F.least("root", F.coalesce("pushed", "root")).alias("root")),
                       f"{name}-roots")
         if after.filter("root <> old").isEmpty():

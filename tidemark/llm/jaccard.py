@@ -9,14 +9,16 @@ nearly everything and cuts nothing, so the join goes from coarse to fine:
 2. Coarse regions. The universe of n-grams is dealt into m parts by hash, where m - 1 is the largest symmetric
    difference that two linked sets of a size class can have: the part of the universe is the pivot, and sets whose
    contents of it are equal (distance 0 there) share a cell. Linked sets differ in fewer parts than there are, so they
-   meet in some cell. Sets within a link of the next size class belong to both. Sets of at most ``PREFIX``
+   meet in some cell, even if each asks only in the cells of its larger parts and is silent in the others. Sets within a link of the next size class belong to both. Sets of at most ``PREFIX``
    n-grams meet by their first n-grams in hash order instead (linked sets share one among the first
    ``n - ceil(t n) + 1``). Cells that share sets are joined to coarse regions.
 3. A coarse region of at most ``TASK_SETS`` sets is solved in one task: the distances to each pivot in turn, where
    sets already connected or outside the triangle inequality's window of the pivots before need no comparison.
-4. A larger region is cut by pivots of its own members into Voronoi regions with borders of 2r on each side, in
-   blocks over many tasks; regions whose sets are all connected are done, small ones go to step 3, others are cut
-   again. A region that pivots cannot cut is compared block by block: nothing is dropped at any size.
+4. A larger region is first cut by single n-grams as pivots, its rarest first: linked sets share one among their first, so
+   passages that many sets hold bring none together. What is still large then is cut by pivots of its own members into
+   Voronoi regions with borders of 2r on each side, in blocks over many tasks; regions whose sets are all connected are
+   done, small ones go to step 3, others are cut again. A region that pivots cannot cut is compared block by
+   block: nothing is dropped at any size.
 
 A link is decided on the whole sets by integers: 100 * |A and B| >= percent * |A or B|. N-grams are compared
 by 64-bit hashes.
@@ -28,6 +30,7 @@ component of null ids only has a null id). Columns beyond id and text are not re
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +42,17 @@ from tidemark.llm.common import components, runs, scan, small_or_not
 from tidemark.session import stage
 
 NGRAM, PERCENT = 4, 85
-PREFIX = 32
+PREFIX, CLASS = 32, 1.3
 #: Sets and n-grams that one task compares at once; larger regions are cut.
 TASK_SETS, TASK_GRAMS = 2_000, 4_000_000
 PIVOTS, BLOCK = 24, 1_000
 
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Largest size of each class.
+_TOPS = [PREFIX]
+while _TOPS[-1] < 1 << 40:
+    _TOPS.append(int(_TOPS[-1] * CLASS))
+
+_M1, _M2, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -69,8 +77,8 @@ def gram_set(text: str | None, ngram: int = NGRAM) -> np.ndarray:
 
 
 def _class_of(n: int) -> int:
-    """0 for sizes up to PREFIX, then one class per factor of two."""
-    return 0 if n <= PREFIX else ((n - 1) // PREFIX).bit_length()
+    """0 for sizes up to PREFIX, then one class per factor of CLASS."""
+    return bisect.bisect_left(_TOPS, n)
 
 
 def _most_apart(sizes: int, percent: int) -> int:
@@ -79,32 +87,37 @@ def _most_apart(sizes: int, percent: int) -> int:
 
 
 def cells(grams: np.ndarray, percent: int = PERCENT) -> list[int]:
-    """Keys of the cells of a set: linked sets share one."""
+    """Keys of the cells of a set, doubled, plus 1 in those that it does not ask in: of two linked sets, each
+    asks in a cell that the other is in, too. Small parts of the universe, which sets share by chance, are not asked in
+    as long as more parts are left than linked sets can differ in."""
     n = len(grams)
     if not n:
         return []
-    own, widest = _class_of(n), n * 100 // percent
+    widest = n * 100 // percent
     out = []
     with np.errstate(over="ignore"):
-        for c in range(own, _class_of(widest) + 1):
+        for c in range(_class_of(n), _class_of(widest) + 1):
             if c == 0:
                 first = grams[:n - -(-n * percent // 100) + 1]
-                out.append(_mix(first ^ _M1))
+                out.append(_mix(first ^ _M1) & ~_ONE)
                 continue
-            top = PREFIX << c
+            top = _TOPS[c]
             most = _most_apart(2 * top, percent)
             parts = most + 2 + most // 16
             part = ((grams * _M1) >> np.uint64(33)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             part, mixed = part[order], _mix(grams[order] + _M2)
-            at = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1)))
+            at = np.flatnonzero(np.diff(part, prepend=part[:1] + _ONE))
             sums, held = np.add.reduceat(mixed, at), part[at]
-            if len(held) <= _most_apart(n + min(top, widest), percent):
-                # So many parts are empty that equal contents might be empty in all but the differing ones.
+            asks = _most_apart(n + min(top, widest), percent) + 1
+            silent = np.zeros(len(held), np.uint64)
+            if len(held) >= asks:
+                silent[np.argsort(-np.diff(np.append(at, n)), kind="stable")[asks:]] = _ONE
+            else:  # so many parts are empty that equal contents might be the empty ones only
                 full = np.zeros(parts, np.uint64)
                 full[held.astype(np.int64)] = sums
-                sums, held = full, np.arange(parts, dtype=np.uint64)
-            out.append(_mix(sums + _mix(held * _M1 + np.uint64(c))))
+                sums, held, silent = full, np.arange(parts, dtype=np.uint64), np.zeros(parts, np.uint64)
+            out.append((_mix(sums + _mix(held * _M1 + np.uint64(c))) & ~_ONE) | silent)
     return np.concatenate(out).view(np.int64).tolist()
 
 
@@ -174,6 +187,47 @@ def _solved(sets: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(run, "a long, b long"))
 
 
+def _met(dealt: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect the keys of each cell (cell, key) that a set asks in: each with the cell's first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, head = None, 0  # rows come sorted, those that ask first, and a cell may span batches
+        asked = False
+        for batch in batches:
+            at, keys = (batch.column(i).to_numpy() for i in (0, 1))
+            if not len(keys):
+                continue
+            own, asks = at >> 1, at & 1 == 0
+            new = np.concatenate([[own[0] != cell], own[1:] != own[:-1]])
+            begins = np.maximum.accumulate(np.where(new, np.arange(len(at)), -1))
+            heads = np.where(begins >= 0, keys[begins], head)
+            open_ = np.where(begins >= 0, asks[begins], asked)
+            cell, head, asked = own[-1], heads[-1], open_[-1]
+            pairs = np.unique(np.stack([keys, heads], 1)[open_ & (keys != heads)], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return (dealt.select("cell", "key").repartition(F.shiftright("cell", 1)).sortWithinPartitions("cell", "key")
+            .mapInArrow(run, "a long, b long").distinct())
+
+
+def _by_rarest(members: DataFrame, percent: int) -> DataFrame:
+    """Smaller regions (region, key) for the members (region, key, grams): sets that share one of their first n-grams, the
+    region's rarest first. What many sets hold then brings no sets together that differ in the rest."""
+    def spread(regions: list, keys: list, grams: list) -> dict[str, list]:
+        return {"region": regions, "key": keys, "grams": [_set(g).view(np.int64).tolist() for g in grams]}
+
+    each = scan(members.select("region", "key", "grams"), spread, "region long, key long, grams array<long>")
+    each = stage(each, "jaccard-grams").select("region", "key", F.explode("grams").alias("gram"))
+    held = stage(each.groupBy("region", "gram").agg(F.count("*").alias("sets")), "jaccard-held")
+    order = (each.join(held, ["region", "gram"]).groupBy("region", "key")
+             .agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("order")))
+    n = F.size("order")
+    first = F.slice("order", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
+    dealt = order.select("key", F.explode(first).alias("g"), "region").select(
+        F.shiftleft(F.xxhash64("region", "g.gram"), 1).alias("cell"), "key")
+    return components(stage(_met(dealt), "jaccard-met"), "jaccard-rare").select(
+        F.col("node").alias("key"), F.col("root").alias("region"))
+
+
 def _to_pivots(members: DataFrame, sizes: DataFrame, salt: int) -> DataFrame:
     """Distances (region, key, pivots, distances) of each member (region, key, grams) to its region's pivots."""
     place = F.pmod(F.xxhash64(F.lit(salt), "key"), F.lit(1 << 30))
@@ -288,24 +342,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
     classes = stage(first.filter("n > 0").groupBy("digest", "key").agg(
         lowest.alias("low"), F.first("cells").alias("cells")), "jaccard-classes")
-    dealt = (classes.select("key", F.explode("cells").alias("cell")).repartition("cell")
-             .sortWithinPartitions("cell", "key"))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each key of a cell with the cell's first; rows come sorted, and a cell may span batches."""
-        cell, head = None, None
-        for batch in batches:
-            keys, at = (batch.column(i).to_numpy() for i in (0, 1))
-            if not len(keys):
-                continue
-            new = np.concatenate([[at[0] != cell], at[1:] != at[:-1]])
-            begins = np.maximum.accumulate(np.where(new, np.arange(len(at)), -1))
-            heads = np.where(begins >= 0, keys[begins], head if head is not None else 0)
-            cell, head = at[-1], heads[-1]
-            pairs = np.unique(np.stack([keys, heads], 1)[keys != heads], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    near = stage(dealt.mapInArrow(meet, "a long, b long").distinct(), "jaccard-near")
+    near = stage(_met(classes.select("key", F.explode("cells").alias("cell"))), "jaccard-near")
     coarse = components(near, "jaccard-coarse").select(F.col("node").alias("key"), F.col("root").alias("region"))
     member = stage(coarse.join(classes.select("key", "low"), "key")
                    .select("key", "region", F.col("low.doc_id").alias("_id"), F.col("low._row").alias("_key")), "jaccard-member")
@@ -326,8 +363,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                               "jaccard-wide"))
     links = [stage(_solved(sets_of(chosen.join(wide, "region", "left_anti")), percent), "jaccard-links")]
     if not wide.isEmpty():
-        large = stage(sets_of(chosen.join(wide, "region", "left_semi")), "jaccard-large").dropDuplicates(["region", "key"])
-        links = _cut(large.select("region", "key", "grams"), links, percent)
+        large = stage(sets_of(chosen.join(wide, "region", "left_semi")).dropDuplicates(["region", "key"]), "jaccard-large")
+        rarer = _by_rarest(large, percent)
+        large = stage(large.drop("region").join(rarer, "key"), "jaccard-larger")
+        sizes = stage(large.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("n")), "jaccard-regions")
+        is_wide = (F.col("sets") > TASK_SETS) | ((F.col("n") > TASK_GRAMS) & (F.col("sets") > 2))
+        links.append(stage(_solved(large.join(sizes.filter(~is_wide).select("region"), "region"), percent), "jaccard-links"))
+        links = _cut(large.join(sizes.filter(is_wide).select("region"), "region").select("region", "key", "grams"), links, percent)
     all_links = links[0]
     for more in links[1:]:
         all_links = all_links.union(more)
