@@ -35,7 +35,7 @@ def test_spans_of_mixed_text_and_scripts(spark):
     model = language.learn(docs)
     assert model.languages == ["en", "fr", "ru"]
     text = "the garden and the house with this thing. la maison et le jardin avec cette chose! дом и сад"
-    rows = [(1, text), (2, None), (3, "12 !?"), (4, ""), (1, text)]
+    rows = [(1, text), (2, None), (3, "12 !?\u0301"), (4, ""), (1, text)]
     got = language.identify(corpus(spark, rows), model).collect()
     assert [(r["lang_pred"], r["score"]) for r in got[1:4]] == [("und", 0.0)] * 3
     assert got[0] == got[4] and 0 < got[0]["score"] < 1

@@ -11,7 +11,7 @@ from tidemark.llm import decontaminate, pii, repeats, secrets
 from tidemark.llm.oracles import ORACLES
 from tidemark.llm.queries import QUERIES
 
-SCHEMA = "doc_id long, text string, n_words long, _row string, start int, spans string, key string, items string"
+SCHEMA = "doc_id long, text string, n_words long, _row string, start int, _id string, key string, items string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 

@@ -192,7 +192,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: f
 def label_texts(model: Model, texts: list, penalty: float) -> tuple[list[str], list[float], list[list[dict]]]:
     """Language, score and spans of each text."""
     langs, scores, spans = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-    codes, starts, ends, owner, script, firsts = _words([t or "" for t in texts])
+    # A mark belongs to a word, but is no letter by itself.
+    codes, starts, ends, owner, script, firsts = _words([t if t and any(map(str.isalpha, t)) else "" for t in texts])
     size = len(model.languages)
     if not size or not len(starts):
         return langs, scores, spans

@@ -60,14 +60,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with ``text_col`` cut, and n_units, n_removed, removed (start, end in the original text)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_all"), F.col(id_col).alias("_own"), F.col(text_col).alias("_text"),
+                        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_row"))
 
     def examine(ids: list, rows: list, texts: list) -> dict[str, list]:
         seen = [_examine(t or "", least_words) for t in texts]
         return {"_id": ids, "_key": rows, "n_units": [x[0] for x in seen], "first": [x[1] for x in seen],
                 "again": [x[2] for x in seen]}
 
-    found = stage(scan(keyed.select(id_col, "_row", text_col), examine,
+    found = stage(scan(keyed.select("_own", "_row", "_text"), examine,
                        f"_id {kind}, _key long, n_units long, first array<struct<h1:long,h2:long,start:int,end:int>>, "
                        "again array<struct<start:int,end:int>>"), "units")
     own = found.select("_id", "_key", F.explode("first").alias("u")).select("_id", "_key", "u.*")
@@ -82,15 +83,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cuts = stage(cuts.select("_id", "_key", "n_units", F.array_sort(F.concat(
         "again", F.coalesce("late", F.array().cast("array<struct<start:int,end:int>>")))).alias("removed")), "unit-cuts")
 
-    rest = [c for c in keyed.columns if c not in (text_col, "n_units", "n_removed", "removed")]
-    joined = keyed.select(*rest, F.col(text_col).alias("_text")).join(
-        cuts, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
+    joined = keyed.join(cuts, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
     # Kept pieces in order: from the end of each cut to the start of the next. Cuts are tiles, so none overlap.
     starts = F.concat(F.array(F.lit(0)), F.col("removed.end"))
     ends = F.concat(F.col("removed.start"), F.array(F.length("_text")))
     kept = F.when(F.size("removed") == 0, F.col("_text")).otherwise(F.array_join(F.zip_with(
         starts, ends, lambda a, b: F.substring(F.col("_text"), a + 1, b - a)), ""))
-    joined = joined.withColumn(text_col, F.when(F.col("_text").isNotNull(), kept)).withColumn(
-        "n_removed", F.size("removed").cast("long"))
-    return joined.select(*[c for c in docs.columns if c not in ("n_units", "n_removed", "removed")],
-                         "n_units", "n_removed", "removed")
+    text = F.when(F.col("_text").isNotNull(), kept)
+    added = ("n_units", "n_removed", "removed")
+    return joined.select(*[(text if c == text_col else F.col("_all")[c]).alias(c) for c in docs.columns if c not in added],
+                         "n_units", F.size("removed").cast("long").alias("n_removed"), "removed")
