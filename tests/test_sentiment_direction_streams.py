@@ -12,7 +12,7 @@ from tidemark.streaming.bars import closed_bars
 from tidemark.streaming.positions import held_positions
 from tidemark.streaming.sentiment import trailing_sentiment
 
-GOOD, BAD = ("surge", "beat", "record", "jumps"), ("plunge", "miss", "falls", "cuts")
+GOOD, BAD = ("bright", "sunny", "warm"), ("gloomy", "rainy", "cold")
 
 
 def _heads(spark, rows):
@@ -38,12 +38,12 @@ def test_window_is_open_then_closed(spark):
 
 
 def test_feature_averages_and_ignores_the_future(spark):
-    rows = [("A", "2020-01-30T10:00:00", "Profits surge"), ("A", "2020-01-29T10:00:00", "Sales miss, stock falls"),
-            ("A", "2020-01-28T10:00:00", "  "), ("B", "2020-01-30T10:00:00", " "), ("C", "2020-02-20T10:00:00", "beat")]
+    rows = [("A", "2020-01-30T10:00:00", "A bright day"), ("A", "2020-01-29T10:00:00", "Rainy noon, cold night"),
+            ("A", "2020-01-28T10:00:00", "  "), ("B", "2020-01-30T10:00:00", " "), ("C", "2020-02-20T10:00:00", "warm")]
     s = sentiment.scored_headlines(_heads(spark, rows), sentiment.lexicon_column(GOOD, BAD))
     got = by(sentiment.sentiment_feature(s, calendar(spark, "2020-01-31")), "ticker")
     assert got["A"].sentiment == pytest.approx(0.0) and got["B"].sentiment == 0.0 and "C" not in got
-    more = sentiment.scored_headlines(_heads(spark, rows + [("A", "2020-02-01T00:00:00", "record")]),
+    more = sentiment.scored_headlines(_heads(spark, rows + [("A", "2020-02-01T00:00:00", "sunny")]),
                                       sentiment.lexicon_column(GOOD, BAD))
     assert by(sentiment.sentiment_feature(more, calendar(spark, "2020-01-31")), "ticker") == got
 
@@ -51,16 +51,16 @@ def test_feature_averages_and_ignores_the_future(spark):
 def test_injected_classifier(spark):
     def make():
         def classify(texts):
-            return [[{"label": "positive", "score": .9 if "surge" in t else .1}, {"label": "negative", "score": .1}]
+            return [[{"label": "positive", "score": .9 if "bright" in t else .1}, {"label": "negative", "score": .1}]
                     for t in texts]
         return classify
-    h = _heads(spark, [("A", "2020-01-30T10:00:00", "a surge"), ("A", "2020-01-30T11:00:00", "calm")])
+    h = _heads(spark, [("A", "2020-01-30T10:00:00", "a bright one"), ("A", "2020-01-30T11:00:00", "calm")])
     s = sentiment.scored_headlines(h, sentiment.scorer(make)("text")).agg(sentiment.mean_score()).first()[0]
     assert s == pytest.approx(.4)
 
 
 def test_ticker_view_and_bands(spark):
-    rows = [("A", f"2020-01-{d:02d}T10:00:00", "surge") for d in range(1, 20)] + [("B", "2020-01-05T10:00:00", "cuts")]
+    rows = [("A", f"2020-01-{d:02d}T10:00:00", "bright") for d in range(1, 20)] + [("B", "2020-01-05T10:00:00", "cold")]
     s = sentiment.scored_headlines(_heads(spark, rows), sentiment.lexicon_column(GOOD, BAD))
     view = by(sentiment.ticker_sentiment(s, "2020-01-31"), "ticker")
     assert view["A"].band == "Strongly positive" and view["A"].n_total == 19 and view["B"].label == "negative"
@@ -146,17 +146,17 @@ def test_stream_bars_equal_batch_up_to_the_watermark(spark):
     t0 = dt.datetime(2020, 1, 2, 14, 30)
     ticks = spark.createDataFrame([("A", t0 + dt.timedelta(minutes=2 * i), 100.0 + i % 5, i) for i in range(30)],
                                   "ticker string, ts timestamp, price double, seq long")
-    got = by(_drain(closed_bars(_as_stream(ticks, "ticks"))), "bar_start")
+    got = by(_drain(closed_bars(_as_stream(ticks, "ticks", "ts"))), "bar_start")
     assert got[t0].open == 100 and got[t0].close == 102 and got[t0].n_ticks == 3
     last = t0 + dt.timedelta(minutes=58)
     assert max(r.bar_end for r in got.values()) <= last - dt.timedelta(minutes=10)
 
 
 def test_stream_sentiment_windows(spark):
-    rows = [("A", "2020-01-10T00:00:00", "surge"), ("A", "2020-01-12T12:00:00", "falls"),
+    rows = [("A", "2020-01-10T00:00:00", "bright"), ("A", "2020-01-12T12:00:00", "cold"),
             ("A", "2020-02-20T00:00:00", "calm")]
     s = sentiment.scored_headlines(_heads(spark, rows), sentiment.lexicon_column(GOOD, BAD))
-    got = by(_drain(trailing_sentiment(_as_stream(s, "heads"))), "as_of")
+    got = by(_drain(trailing_sentiment(_as_stream(s, "heads", "published_at"))), "as_of")
     assert got[dt.date(2020, 1, 10)].n_headlines == 1 and got[dt.date(2020, 1, 13)].n_headlines == 2
     assert got[dt.date(2020, 1, 17)].n_headlines == 1 and dt.date(2020, 1, 20) not in got
 
@@ -164,6 +164,24 @@ def test_stream_sentiment_windows(spark):
 def test_stream_positions_equal_batch(spark):
     df = spark.createDataFrame([(t, day(i), s) for t in "AB" for i, s in enumerate([0, 3, 1, -1, -3, 2, 4])],
                                "ticker string, date date, score int")
-    got = by(_drain(held_positions(_as_stream(df, "scores"))), "ticker", "date")
+    got = by(_drain(held_positions(_as_stream(df, "scores", "date"))), "ticker", "date")
     want = by(rules.add_position(df), "ticker", "date")
     assert {k: v.position for k, v in got.items()} == {k: v.position for k, v in want.items()}
+
+
+def test_late_scores_do_not_change_positions(spark, tmp_path):
+    schema = "ticker string, date date, score int"
+    for rows in ([("A", day(0), 3), ("A", day(2), 0)], [("A", day(1), -4), ("A", day(3), 1)], [("A", day(4), -3)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {r["date"]: r["position"] for r in _drain(held_positions(stream)).collect()}
+    assert got == {day(0): 1, day(2): 1, day(3): 1, day(4): 0}
+
+
+def test_streams_come_in_batches(spark):
+    df = spark.createDataFrame([(day(i % 50), i) for i in range(500)], "date date, i int")
+    stream = _as_stream(df, "batches", "date")
+    seen = []
+    stream.writeStream.foreachBatch(lambda b, k: seen.append([r[0] for r in b.agg(F.min("date"), F.max("date")).collect()])) \
+        .trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) >= 5 and seen == sorted(seen)

@@ -735,28 +735,40 @@ def _drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/stream-{tag}")
 
 
-def _as_stream(df: DataFrame, name: str) -> DataFrame:
-    """A file stream over a staged copy of ``df``."""
-    return df.sparkSession.readStream.schema(df.schema).parquet(session.write_stage(df, name))
+FILES = 4
+
+
+def _as_stream(df: DataFrame, name: str, time: str, batches: int = 6) -> DataFrame:
+    """A file stream over a staged copy of ``df`` that delivers it in the order of ``time``: one stretch of time
+    after another is written, as FILES files, and a micro-batch takes so many."""
+    staged = session.stage(df, name)
+    shares = [i / batches for i in range(1, batches)]
+    cuts = staged.agg(F.percentile_approx(time, F.array(*map(F.lit, shares)), F.lit(1000))).first()[0] or []
+    path = f"{session.run_dir(df.sparkSession)}/{name}-stream-{uuid.uuid4().hex}"
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = staged if low is None else staged.where(F.col(time) > F.lit(low))
+        part = part if high is None else part.where(F.col(time) <= F.lit(high))
+        part.repartition(FILES).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 @query
 def stream_bars(m):
     from tidemark.streaming.bars import closed_bars
-    return _drain(closed_bars(_as_stream(views.ticks(m.spark, m.dir), "ticks")))
+    return _drain(closed_bars(_as_stream(views.ticks(m.spark, m.dir), "ticks", "ts")))
 
 
 @query
 def stream_sentiment(m):
     from tidemark.streaming.sentiment import trailing_sentiment
-    return _drain(trailing_sentiment(_as_stream(m.scored_headlines, "headlines")))
+    return _drain(trailing_sentiment(_as_stream(m.scored_headlines, "headlines", "published_at")))
 
 
 @query
 def stream_positions(m):
     from tidemark.streaming.positions import held_positions
     scores = rules.rule_signals(m.raw).select("ticker", "date", "score")
-    return _drain(held_positions(_as_stream(scores, "daily_scores")))
+    return _drain(held_positions(_as_stream(scores, "daily_scores", "date")))
 
 
 # ---- model queries -----------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -10,20 +11,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def held_positions(scores: DataFrame, buy: int = 3, sell: int = -3) -> DataFrame:
     """1 after a score of at least ``buy``, 0 after one of at most ``sell``, else unchanged.
 
-    The state is one number per ticker. Scores arrive once per ticker and day, so a micro-batch
-    holds few rows of a ticker; they are put in date order before the state moves.
+    The state is a ticker's position and the last day it stands for. Within a micro-batch scores are put in
+    date order; a score that comes after one of a later day or of its own was decided on is late and is dropped, so
+    the order of arrival never changes a position.
     """
 
     def step(key, frames, state: GroupState):
-        held = state.get[0] if state.exists else 0
+        held, last = state.get if state.exists else (0, None)
         rows = pd.concat(list(frames)).sort_values("date")
-        out = []
-        for s in rows["score"]:
-            held = 1 if s >= buy else 0 if s <= sell else held
-            out.append(held)
-        state.update((held,))
-        yield pd.DataFrame({"ticker": key[0], "date": rows["date"], "score": rows["score"], "position": out})
+        if last is not None:
+            rows = rows[rows["date"] > last]
+        if rows.empty:
+            return
+        signal = np.where(rows["score"] >= buy, 1.0, np.where(rows["score"] <= sell, 0.0, np.nan))
+        position = pd.Series(signal, index=rows.index).ffill().fillna(held).astype("int32")
+        state.update((int(position.iloc[-1]), rows["date"].iloc[-1]))
+        yield pd.DataFrame({"ticker": key[0], "date": rows["date"], "score": rows["score"], "position": position})
 
     return scores.select("ticker", "date", "score").groupBy("ticker").applyInPandasWithState(
-        step, "ticker string, date date, score int, position int", "held int", "append",
+        step, "ticker string, date date, score int, position int", "held int, last date", "append",
         GroupStateTimeout.NoTimeout)
