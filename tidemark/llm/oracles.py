@@ -1,5 +1,12 @@
 """SQL for those queries of this package that SQL can express."""
 
+from tidemark.llm.licences import NOTICES
+
+
+def _words(text):
+    return _WORDS.replace("coalesce(text, '')", f"coalesce({text}, '')")
+
+
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 ORACLES = {
@@ -33,4 +40,33 @@ from documents d left join (
          string_agg(cast(start as bigint) || ':' || cast(start + length(unit) as bigint), ',' order by nth) filter (gone) as removed,
          string_agg(unit, '' order by nth) filter (not gone) as kept
   from ranked group by 1) using (doc_id)""",
+    "op8_licences": f"""
+with notices(template, license, notice) as (values {", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(NOTICES))}),
+own_terms as (select template, license, term, count(*) as tf from (select template, license, unnest({_words("notice")}) as term from notices) group by all),
+files as (select doc_id, source || '/' || lang as dir, string_split(text, chr(10)) as l from documents),
+lines as (select doc_id, nth, {_words("line")} as w
+          from (select doc_id, generate_subscripts(l, 1) as nth, unnest(l) as line from files)),
+held as (select *, list_intersect(list_distinct(w), (select list(distinct term) from own_terms)) as h from lines),
+size as (select count(*)::DOUBLE as n_lines from lines),
+seen as (select term, count(*) as df from (select unnest(h) as term from held) group by 1),
+idf as (select term, ln((n_lines + 1) / (coalesce(df, 0) + 1)) as idf
+        from (select distinct term from own_terms) left join seen using (term), size),
+vectors as (select template, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by template)) as v
+            from own_terms join idf using (term)),
+maybe as (select doc_id, nth, len(w) as n, unnest(w) as term from held where len(w) > 0 and len(h) * 2 >= len(list_distinct(w))),
+weighed as (select doc_id, nth, n, term, count(*) * coalesce(any_value(idf), (select ln(n_lines + 1) from size)) as x
+            from maybe left join idf using (term) group by all),
+norms as (select doc_id, nth, sqrt(sum(x * x)) as norm from weighed group by all),
+cosines as (select doc_id, nth, n, license, round(dot / norm, 6) as cosine
+            from (select doc_id, nth, n, template, license, sum(x * v) as dot from weighed join vectors using (term) group by all)
+            join norms using (doc_id, nth)),
+best as (select doc_id, nth, n, min((-cosine, license)) as b from cosines where cosine >= 0.8 group by all),
+own as (select doc_id, min((b[1], nth, b[2]))[3] as own, sum(n) as licensed from best group by 1),
+counted as (select doc_id, count(*) as n_lines, sum(len(w)) as n_words from lines group by 1),
+dirs as (select dir, min((-files, own))[2] as inherited
+         from (select dir, own, count(*) as files from files join own using (doc_id) join counted using (doc_id)
+               where licensed >= 0.5 * n_words group by all) group by 1)
+select f.doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, own, case when own is null then inherited end as inherited,
+       coalesce(own, inherited) as license
+from files f left join counted using (doc_id) left join own using (doc_id) left join dirs using (dir)""",
 }
