@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import components, runs, scan, small_or_not
+from tidemark.llm.common import BROADCAST_ROWS, components, runs, scan, small_or_not
 from tidemark.session import stage
 
 NGRAM, PERCENT = 4, 85
@@ -346,7 +346,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     coarse = components(near, "jaccard-coarse").select(F.col("node").alias("key"), F.col("root").alias("region"))
     member = stage(coarse.join(classes.select("key", "low"), "key")
                    .select("key", "region", F.col("low.doc_id").alias("_id"), F.col("low._row").alias("_key")), "jaccard-member")
-    chosen = small_or_not(member)
+    # Ids of a few columns go to the texts, not the texts through a shuffle, as long as there are not too many.
+    light = F.broadcast if member.count() <= BROADCAST_ROWS else (lambda df: df)
 
     def grams_of(keys: list, regions: list, texts: list) -> dict[str, list]:
         sets = [gram_set(t, ngram) for t in texts]
@@ -354,16 +355,16 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def sets_of(chosen: DataFrame) -> DataFrame:
         same = texts["doc_id"].eqNullSafe(chosen["_id"]) & (texts["_row"] == chosen["_key"])
-        return scan(texts.join(chosen, same).select("key", "region", "_text"), grams_of,
+        return scan(texts.join(light(chosen), same).select("key", "region", "_text"), grams_of,
                     "region long, key long, n long, grams binary")
 
     sizes = stage(member.join(first.filter("n > 0").groupBy("key").agg(F.max("n").alias("n")), "key")
                   .groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")), "jaccard-regions")
     wide = small_or_not(stage(sizes.filter(f"sets > {TASK_SETS} or (grams > {TASK_GRAMS} and sets > 2)").select("region"),
                               "jaccard-wide"))
-    links = [stage(_solved(sets_of(chosen.join(wide, "region", "left_anti")), percent), "jaccard-links")]
+    links = [stage(_solved(sets_of(member.join(wide, "region", "left_anti")), percent), "jaccard-links")]
     if not wide.isEmpty():
-        large = stage(sets_of(chosen.join(wide, "region", "left_semi")).dropDuplicates(["region", "key"]), "jaccard-large")
+        large = stage(sets_of(member.join(wide, "region", "left_semi")).dropDuplicates(["region", "key"]), "jaccard-large")
         rarer = _by_rarest(large, percent)
         large = stage(large.drop("region").join(rarer, "key"), "jaccard-larger")
         sizes = stage(large.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("n")), "jaccard-regions")
