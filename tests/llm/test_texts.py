@@ -147,6 +147,23 @@ def test_redaction_keeps_all_else(spark, keyed):
         assert got[i] == want + t[at:]
 
 
+def test_strings_behind_names_are_tested():
+    rng = random.Random(12)
+    for name in ("AWS_SECRET_ACCESS_KEY", "DB_KEY", "https://x.example/a?id=7&sig", "key"):
+        for pad in ("", "=", "=="):
+            key = _key(rng, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 44) + pad
+            text = f"run {name}={key} or {name}: {key}\n"
+            found = [text[c["start"]:c["end"]] for c in secrets._examine(text)[1]]
+            assert found.count(key) == 2, (name, found)
+    # What a base span leaves of a run is tested.
+    left, right = (_key(rng, "GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz", 40) for _ in range(2))
+    digits = "0123456789abcdef" * 2
+    text = f"{left}{digits}{right} end"
+    base, candidates, _ = secrets._examine(text)
+    assert [text[s:e] for s, _, e, _ in base] == [digits]
+    assert [text[c["start"]:c["end"]] for c in candidates] == [left, right]
+
+
 def test_secrets_of_odd_texts(spark):
     docs = corpus(spark, [(1, None), (1, ""), (None, "a" * 200_000), (2, "token" + " " * 100_000), (3, "9" * 50_000)])
     got = secrets.digest(secrets.scan_secrets(docs))

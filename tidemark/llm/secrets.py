@@ -1,7 +1,7 @@
 """Secret scans: patterns, and a battery of randomness tests on strings that no pattern names.
 
 Patterns give the base spans ``assign``, ``access`` and ``hex``, which are always kept. Every other run
-of at least ``SHORTEST`` token characters is a candidate. Its alphabet tells its encoding, and
+of at least ``SHORTEST`` token characters, or what base spans leave of it, is a candidate; ``=`` ends a run unless it pads it. Its alphabet tells its encoding, and
 three tests ask whether its characters may come from a uniform source: chi-squared over groups
 of the alphabet, the runs test about the alphabet's middle, serial correlation of neighbours. Fisher's
 sum makes one p of the three. Short strings pass such tests by chance, so the p that a string must
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -34,7 +35,8 @@ _ASSIGN = re.compile(
     r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % SHORTEST)
+#: ``=`` is padding at the end only: elsewhere it stands between a name and a value.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?" % SHORTEST)
 _NO_LETTER = re.compile(r"[^A-Za-z0-9]+")
 _ALPHABETS = (
     ("hex", "0123456789abcdef"), ("hex_upper", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
@@ -113,15 +115,34 @@ def _tested(s: str) -> dict | None:
     return {"kind": encoding, "size": int(math.log(len(s)) / math.log(1.25)), "step": step}
 
 
-def _examine(text: str) -> tuple[list, list, list]:
-    base = base_spans(text)
-    candidates, decoys, k = [], [], 0
-    ends = sorted((s[0], s[2]) for s in base)
+def _runs(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int]]:
+    """Token runs, and what base spans leave of them, of at least ``SHORTEST`` characters."""
+    covered: list[list[int]] = []
+    for start, _, end, _ in base:
+        if covered and start <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
+    k = 0
     for m in _TOKEN.finditer(text):
         start, end = m.span()
-        while k < len(ends) and ends[k][1] <= start:
+        while k < len(covered) and covered[k][1] <= start:
             k += 1
-        if (k < len(ends) and ends[k][0] < end) or not (got := _tested(m[0])):
+        at = k
+        while at < len(covered) and covered[at][0] < end:
+            if covered[at][0] - start >= SHORTEST:
+                yield start, covered[at][0]
+            start = max(start, covered[at][1])
+            at += 1
+        if end - start >= SHORTEST:
+            yield start, end
+
+
+def _examine(text: str) -> tuple[list, list, list]:
+    base = base_spans(text)
+    candidates, decoys = [], []
+    for start, end in _runs(text, base):
+        if not (got := _tested(text[start:end])):
             continue
         candidates.append(got | {"start": start, "end": end})
         length = end - start
