@@ -164,6 +164,23 @@ def test_strings_behind_names_are_tested():
     assert [text[c["start"]:c["end"]] for c in candidates] == [left, right]
 
 
+def test_a_lone_key_needs_no_companions(spark):
+    rng = random.Random(13)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = ["tion", "the", "er", "an", "in", "ou", "re", "st", "nd", "Wh"]
+    text = lambda n: " ".join("".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(n))
+    hit = false = 0
+    for _ in range(6):
+        key = _key(rng, chars, 64)
+        rows = [(i, text(60)) for i in range(30)] + [(99, text(20) + f" {key} " + text(20))]
+        rows.append((100, "NAME=" + _key(rng, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 52)))  # no words around it
+        got = {r["doc_id"]: [rows_text[s["start"]:s["end"]] for s in r["spans"] for rows_text in [dict(rows)[r["doc_id"]]]]
+               for r in secrets.scan_secrets(corpus(spark, rows)).collect()}
+        hit += (key in got[99]) + (rows[-1][1][5:] in got[100])
+        false += sum(len(v) for i, v in got.items() if i < 99)
+    assert hit >= 11 and false <= 1
+
+
 def test_secrets_of_odd_texts(spark):
     docs = corpus(spark, [(1, None), (1, ""), (None, "a" * 200_000), (2, "token" + " " * 100_000), (3, "9" * 50_000)])
     got = secrets.digest(secrets.scan_secrets(docs))

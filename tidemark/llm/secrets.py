@@ -5,10 +5,12 @@ of at least ``SHORTEST`` token characters, or what base spans leave of it, is a
 three tests ask whether its characters may come from a uniform source: chi-squared over groups
 of the alphabet, the runs test about the alphabet's middle, serial correlation of neighbours. Fisher's
 sum makes one p of the three. Short strings pass such tests by chance, so the p that a string must
-reach is set for each encoding and class of lengths: a decoy of the same length, cut from the words
-around each candidate, takes the same tests, and the cut is the lowest p at which decoys are
-at most ``rate`` of the strings declared. Only counts by (encoding, length class, step of p)
-meet, so the control covers the whole corpus at any size.
+reach is set for each encoding and class of lengths: decoys of the same length, cut from the words around each
+candidate, take the same tests, and the cut is the lowest p at which the candidates that would pass at the decoys' rate
+are at most ``rate`` of the strings declared. A first candidate has up to ``DECOYS`` of them, so that a string needs no
+companions. Where a class has too few decoys to tell, those of the neighbouring lengths of all encodings join it,
+with a few that every document gives. There, and where fewer than 1 / ``rate`` strings pass, a string's p must also be above
+0.001. Only counts by (encoding, length class, step of p) meet, so the control covers the whole corpus at any size.
 
 Nulls and odd inputs: a null text is empty; equal rows give equal results, each on its own; very long
 texts are scanned whole in linear time. Columns beyond id and text are not read. No rows: no rows.
@@ -16,11 +18,15 @@ texts are scanned whole in linear time. Columns beyond id and text are not read.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import rewrite, scan, spans_text
 from tidemark.session import stage
@@ -30,6 +36,10 @@ RANDOM = "random"
 SHORTEST = 20
 #: p is counted in steps of a quarter of a decimal; lengths in steps of a factor of 1.25.
 STEPS, LAST_STEP = 4, 60
+#: Decoys of a document's first candidate, the n-th has an n-th of that; and those that every document gives.
+DECOYS, GIVEN = 100, 2
+#: The last step above p = 0.001.
+PLAIN = 3 * STEPS - 1
 
 _ASSIGN = re.compile(
     r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -115,14 +125,19 @@ def _tested(s: str) -> dict | None:
     return {"kind": encoding, "size": int(math.log(len(s)) / math.log(1.25)), "step": step}
 
 
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
 def _runs(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int]]:
     """Token runs, and what base spans leave of them, of at least ``SHORTEST`` characters."""
-    covered: list[list[int]] = []
-    for start, _, end, _ in base:
-        if covered and start <= covered[-1][1]:
-            covered[-1][1] = max(covered[-1][1], end)
-        else:
-            covered.append([start, end])
+    covered = _united([(s, e) for s, _, e, _ in base])
     k = 0
     for m in _TOKEN.finditer(text):
         start, end = m.span()
@@ -138,19 +153,42 @@ def _runs(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tuple[in
             yield start, end
 
 
-def _examine(text: str) -> tuple[list, list, list]:
+def _letters(text: str, start: int, end: int, held: list[tuple[int, int]]) -> str:
+    """Letters and digits of a part of ``text``, without the strings ``held`` (sorted, disjoint)."""
+    start, out = max(0, start), []
+    for a, b in held[bisect.bisect_left(held, start, key=lambda x: x[1]):]:
+        if a >= end:
+            break
+        out.append(text[start:max(start, a)])
+        start = b
+    return _NO_LETTER.sub("", "".join([*out, text[start:end]]))
+
+
+def _examine(text: str, with_decoys: bool = True) -> tuple[list, list, list]:
     base = base_spans(text)
-    candidates, decoys = [], []
-    for start, end in _runs(text, base):
-        if not (got := _tested(text[start:end])):
-            continue
-        candidates.append(got | {"start": start, "end": end})
+    candidates, decoys, runs = [], [], list(_runs(text, base))
+    for start, end in runs:
+        if got := _tested(text[start:end]):
+            candidates.append(got | {"start": start, "end": end})
+    if not with_decoys:
+        return base, candidates, decoys
+    held = _united(runs + [(s, e) for s, _, e, _ in base])
+    for nth, c in enumerate(candidates):
+        start, end, many = c["start"], c["end"], max(1, DECOYS // (nth + 1))
         length = end - start
-        near = _NO_LETTER.sub("", text[max(0, start - 3 * length):start])[-length:]
-        if len(near) < length:
-            near += _NO_LETTER.sub("", text[end:end + 3 * length])[:length - len(near)]
-        if len(near) >= SHORTEST and (got := _tested(near)):
-            decoys.append(got)
+        reach = min(3 * length + 20 * many, 8 * length)
+        near = _letters(text, start - reach, start, held) + _letters(text, end, end + reach, held)
+        # Each takes the test of its own alphabet, as the candidate did, and counts for the candidate's class.
+        for at in range(0, len(near) - length + 1, max(1, (len(near) - length) // many))[:many]:
+            if got := _tested(near[at:at + length]):
+                decoys.append({"kind": c["kind"], "size": c["size"], "step": got["step"]})
+    for k in range(GIVEN if len(text) >= SHORTEST else 0):
+        seed = zlib.crc32(text[:4096].encode("utf-8", "surrogatepass"), k)
+        length = math.ceil(SHORTEST * 1.25 ** (seed % 16))
+        start = (seed >> 4) % len(text)
+        near = _letters(text, start - length, start + 2 * length, held)[:length]
+        if len(near) == length and (got := _tested(near)):
+            decoys.append(got | {"kind": ""})
     return base, candidates, decoys
 
 
@@ -165,19 +203,33 @@ def _first_pass(ids: list, texts: list) -> dict[str, list]:
 
 
 def _cuts(examined: DataFrame, rate: float) -> dict[tuple[str, int], int]:
-    """Largest step of p to accept, by (encoding, length class): at most a few hundred rows."""
-    counts = None
-    for column, own in (("candidates", 1), ("decoys", 0)):
-        part = (examined.select(F.explode(column).alias("t")).groupBy("t.kind", "t.size", "t.step")
-                .agg(F.count("*").alias("n")).withColumn("own", F.lit(own)))
-        counts = part if counts is None else counts.union(part)
-    by_step = counts.groupBy("kind", "size", "step").agg(F.sum(F.col("n") * F.col("own")).alias("found"),
-                                                         F.sum(F.col("n") * (1 - F.col("own"))).alias("false"))
-    upto = Window.partitionBy("kind", "size").orderBy("step")
-    good = (by_step.withColumn("found", F.sum("found").over(upto)).withColumn("false", F.sum("false").over(upto))
-            .filter(F.col("false") + 1 <= rate * F.col("found")))
-    return {(r["kind"], r["size"]): r["step"] for r in
-            good.groupBy("kind", "size").agg(F.max("step").alias("step")).collect()}
+    """Largest step of p to accept, by (encoding, length class). Some thousand counts at most come to the driver."""
+    found, false = Counter(), Counter()
+    for column, counts in (("candidates", found), ("decoys", false)):
+        for r in (examined.select(F.explode(column).alias("t")).groupBy("t.kind", "t.size", "t.step")
+                  .agg(F.count("*").alias("n")).collect()):
+            counts[r["kind"], r["size"], r["step"]] = r["n"]
+    return {c: step for c in {c[:2] for c in found} if (step := _cut(c, found, false, rate)) is not None}
+
+
+def _cut(of: tuple[str, int], found: Counter, false: Counter, rate: float) -> int | None:
+    own = [found[*of, step] for step in range(LAST_STEP + 1)]
+    decoys = [false[*of, step] for step in range(LAST_STEP + 1)]
+    total, plain = sum(own), sum(own[:PLAIN + 1])
+    far, pooled = 0, False
+    # Too few decoys to tell: were none to pass, what looks random could still not be declared.
+    while plain and total > rate * plain * (1 + sum(decoys)) and far <= max(size for _, size, _ in (*found, *false)):
+        pooled = True
+        decoys = [0] * (LAST_STEP + 1)
+        for (_, size, step), n in false.items():
+            if abs(size - of[1]) <= far:
+                decoys[step] += n
+        far += 1
+    passed = np.cumsum(own)
+    expected = total * (1 + np.cumsum(decoys)) / (1 + sum(decoys))
+    good = [step for step in range(LAST_STEP + 1) if own[step] and expected[step] <= rate * passed[step]
+            and (step <= PLAIN or (not pooled and passed[step] * rate >= 1))]
+    return max(good, default=None)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05) -> DataFrame:
@@ -212,10 +264,10 @@ def redacted(docs: DataFrame, text_col: str = "text", rate: float = 0.05, mark:
 
     examined = scan(docs.select(text_col), examine,
                     f"candidates array<struct<{_TEST},start:int,end:int>>, decoys array<struct<{_TEST}>>")
-    cuts = _cuts(stage(examined.filter("size(candidates) > 0"), "examined"), rate)
+    cuts = _cuts(stage(examined.filter("size(candidates) + size(decoys) > 0"), "examined"), rate)
 
     def mask(text: str) -> str:
-        base, candidates, _ = _examine(text)
+        base, candidates, _ = _examine(text, with_decoys=False)
         spans = [(s[0], s[2]) for s in base]
         spans += [(c["start"], c["end"]) for c in candidates if c["step"] <= cuts.get((c["kind"], c["size"]), -1)]
         out, at = [], 0
