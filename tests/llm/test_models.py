@@ -182,6 +182,16 @@ def test_pieces_round_trip(spark):
 
 # Components
 
+def test_added_tokens_are_known_as_by_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>\nb", "<|endoftext| >", "word " * 30_000 + "<|endoftext|> end"):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packing.token_bytes(text), "<u4").tolist() == ids
+    assert np.frombuffer(packing.token_bytes("x <|endoftext|> y"), "<u4").tolist() == [87, 220, 50256, 331]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (300, 299), (299, 301), (299, 300)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}

@@ -21,6 +21,7 @@ import array
 import base64
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -45,16 +46,18 @@ def _encoders(vocabulary: str, ranks: str):
     import tiktoken
     from tokenizers import Tokenizer
     slow = Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
+    added = [t.content for t in slow.get_added_tokens_decoder().values()]
     with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return slow, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    return slow, fast, re.compile("|".join(map(re.escape, added)) or r"(?!)")
 
 
 def token_bytes(text: str, vocabulary: str = "", ranks: str = "") -> bytes:
-    """Ids of ``text`` as little-endian unsigned 32-bit numbers. Both libraries hold one vocabulary and give the same ids."""
-    slow, fast = _encoders(vocabulary, ranks)
-    if len(text) > LONG:
+    """Ids of ``text`` as little-endian unsigned 32-bit numbers. Both libraries hold one vocabulary and give the same ids, but for
+    the vocabulary's added tokens, which only the slower one knows: it takes the texts that hold one."""
+    slow, fast, added = _encoders(vocabulary, ranks)
+    if len(text) > LONG or added.search(text):
         return array.array("I", slow.encode(text, add_special_tokens=False).ids).tobytes()
     return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
