@@ -159,6 +159,19 @@ def test_few_vectors(spark):
 
 # Pipeline
 
+def test_near_copies_of_five_words_go(spark):
+    rng = random.Random(21)
+    texts = _near_copies(rng, 20, 8, (9, 30, 46, 50, 90, 100, 140, 300))
+    base = [f"b{i}" for i in range(50)]
+    texts += [" ".join(base), " ".join([*base[:25], "other", *base[26:]])]  # 41 of 51 5-grams, 43 of 51 4-grams
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    grams = [frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) for w in map(str.split, texts)]
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
+    assert got == set(_groups(grams, 80))
+    assert got != set(_groups([_grams(t) for t in texts]))
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = [(10 ** 6, "123 456 !!", "en", "s", 10), (10 ** 6 + 1, None, "en", "s", 0)]
