@@ -157,6 +157,20 @@ def test_few_vectors(spark):
     assert neighbours.nearest(df.limit(1), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_repeated_rows_hide_no_ids(spark):
+    ids = [0] * 30 + [i for i in range(1, 15) for _ in range(3)]
+    df = spark.createDataFrame([(100 * (i == 0) + i, [1.0, 2.0]) for i in ids] + [(500, [9.0, 9.0])], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, F.col("vec_id").isin(1, 14, 100)).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    every = [*range(1, 15), 100]
+    assert {q: sorted(x) for q, x in got.items()} == {
+        q: [(k + 1, i, 0.0) for k, i in enumerate([i for i in every if i != q][:10])] for q in (1, 14, 100)}
+    low = spark.createDataFrame([(i, [1.0, 2.0]) for i in ids], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(low, F.col("vec_id") == 14).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == list(range(10))
+
+
 # Pipeline
 
 def test_near_copies_of_five_words_go(spark):

@@ -77,10 +77,10 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     rows = scan(rows.select(id_col, F.coalesce("_q", F.lit(False)), "_v"), raw, f"id {kind}, asks boolean, v binary", 4096)
     rows = stage(rows.select("id", "asks", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2")), "vectors")
 
-    # The k + 1 smallest ids of each different vector; Spark limits each task's groups before the shuffle.
+    # The k + 1 smallest ids of each different vector, each counted once; Spark limits each task's groups before the shuffle.
     by_id = Window.partitionBy("k1", "k2").orderBy("id")
-    low = (rows.select("k1", "k2", "id").withColumn("nth", F.row_number().over(by_id)).filter(f"nth <= {2 * k + 2}")
-           .groupBy("k1", "k2").agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids")))
+    low = (rows.select("k1", "k2", "id").distinct().withColumn("nth", F.row_number().over(by_id)).filter(f"nth <= {k + 1}")
+           .groupBy("k1", "k2").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     one = rows.groupBy("k1", "k2").agg(F.max("asks").alias("asks"), F.first("v").alias("v"))
     index = stage(one.join(low, ["k1", "k2"]), "vector-index")
     total = index.count()
