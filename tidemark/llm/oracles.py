@@ -69,4 +69,48 @@ dirs as (select dir, min((-files, own))[2] as inherited
 select f.doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, own, case when own is null then inherited end as inherited,
        coalesce(own, inherited) as license
 from files f left join counted using (doc_id) left join own using (doc_id) left join dirs using (dir)""",
+    "op11_infill": r"""
+with hashed as (select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h,
+                       string_split(coalesce(text, ''), chr(10)) as pieces from documents),
+drawn as (select *, cast(len(pieces) as bigint) - case when pieces[-1] = '' then 1 else 0 end as n,
+                 [('0x' || substr(h, 8 * k + 1, 8))::bigint for k in range(4)] as d from hashed),
+placed as (select *, least(d[1] % (n + 1), d[2] % (n + 1)) as lo, greatest(d[1] % (n + 1), d[2] % (n + 1)) as hi,
+                  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain'
+                       when d[4] % 100 < 50 then 'spm' else 'psm' end as form from drawn),
+sized as (select *, case when lo >= len(pieces) then length(text) else list_sum([length(x) + 1 for x in pieces[1:lo]]) end as a,
+                 case when hi >= len(pieces) then length(text) else list_sum([length(x) + 1 for x in pieces[1:hi]]) end as b from placed),
+cut as (select *, cast(coalesce(a, 0) as bigint) as a_, cast(coalesce(b, 0) as bigint) as b_ from sized),
+parts as (select *, substr(text, 1, a_) as p, substr(text, a_ + 1, b_ - a_) as m, substr(text, b_ + 1) as s from cut)
+select doc_id, n, form, case when form <> 'plain' then a_ end as prefix_chars, case when form <> 'plain' then b_ - a_ end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                        else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256
+from parts""",
+    "op12_variants": r"""
+with recursive crcs as (select list(c order by k) as t from (
+  select k, list_reduce([k, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, one: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+  from (select unnest(range(256)) as k))),
+runs as (select doc_id, run, count(*) as k from (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) as run
+  from documents) group by all having length(run) >= 5),
+keyed as (select *, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) as x from runs),
+hashed as (select run, k, xor(list_reduce(list_concat([4294967295::bigint], [('0x' || substr(x, 2 * i - 1, 2))::bigint for i in range(1, length(x) // 2 + 1)]),
+                                          lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as h from keyed, crcs),
+spelt as (select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, k from hashed),
+vocab as materialized (select word, cast(sum(k) as bigint) as n from spelt where length(word) >= 5 group by 1 having sum(k) >= 3),
+gaps as materialized (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+                      from (select *, unnest(range(1, length(word) + 1)) as i from vocab)),
+pairs as (select a.word, a.n, b.word as near, b.n as near_n from gaps a join gaps b using (i, rest) where a.word <> b.word
+          union select g.word, g.n, v.word, v.n from gaps g join vocab v on v.word = g.rest
+          union select v.word, v.n, g.word, g.n from gaps g join vocab v on v.word = g.rest),
+best as (select word, count(*) as n_near, min((-near_n, near)) as b from pairs group by 1),
+named as materialized (select word, n, coalesce(n_near, 0) as n_near, case when -b[1] >= 2 * n then b[2] end as form,
+                              case when -b[1] >= 2 * n then cast(-b[1] as bigint) end as form_n from vocab left join best using (word)),
+climb as (select word, word as root, form as up from named
+          union all select c.word, c.up, f.form from climb c join named f on f.word = c.up)
+select n.word, n.form, c.root, n.n, n.n_near, n.form_n from named n join climb c on c.word = n.word and c.up is null""",
+    "op13_copies": r"""
+with plain as (select doc_id, coalesce(text, '') as original, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as content from documents),
+ranked as (select *, row_number() over w as place, first_value(doc_id) over w as keep_id, count(*) over (partition by content) as group_size
+           from plain window w as (partition by content order by length(original) desc, doc_id nulls last))
+select doc_id, keep_id, group_size, place = 1 as kept, sha256(content) as text_sha256 from ranked""",
 }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import session
-from tidemark.llm import decontaminate, jaccard, language, licences, neighbours, packing, pii, quality, repeats, secrets
+from tidemark.llm import (content_sort, decontaminate, infill, jaccard, language, licences, neighbours, packing, pii, quality, repeats,
+                          secrets, variants)
 from tidemark.llm.common import table
 
 
@@ -71,6 +72,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.prepare(spark)
+    found = infill.infill(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = infill.restored(F.col("infilled"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("infilled", 256).alias("output_sha256"),
+                        F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.prepare(spark)
+    return variants.spelling_variants(table(spark, sf_dir, "documents"), typo_every=variants.TYPO_EVERY)
+
+
+def op13_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.prepare(spark)
+    return content_sort.exact_copies(table(spark, sf_dir, "documents")).drop("_row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -82,4 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_repeats": op9_repeats,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_infill": op11_infill,
+    "op12_variants": op12_variants,
+    "op13_copies": op13_copies,
 }
