@@ -15,9 +15,9 @@ from tidemark.llm import jaccard, neighbours, secrets
 from tidemark.llm.queries import QUERIES
 
 
-def _grams(text):
+def _grams(text, size=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-    return frozenset(tuple(w[k:k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset()
+    return frozenset(tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
 
 
 def _groups(sets, percent=85):
@@ -180,7 +180,7 @@ def test_near_copies_of_five_words_go(spark):
     texts += [" ".join(base), " ".join([*base[:25], "other", *base[26:]])]  # 41 of 51 5-grams, 43 of 51 4-grams
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
-    grams = [frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) for w in map(str.split, texts)]
+    grams = [_grams(t, 5) for t in texts]
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
     assert got == set(_groups(grams, 80))
     assert got != set(_groups([_grams(t) for t in texts]))
@@ -206,7 +206,7 @@ def test_pipeline_stages(spark, tmp_path):
             assert set(before) - set(after) == {10 ** 6, 10 ** 6 + 1}
         if name == "near_duplicates":
             ids = sorted(before)
-            assert set(after) == {ids[k] for k in _groups([_grams(before[i]["text"]) for i in ids])}
+            assert set(after) == {ids[k] for k in _groups([_grams(before[i]["text"], 5) for i in ids], 80)}
         if name == "decontaminate":
             assert set(before) - set(after) == {i for i, r in before.items() if _hits(r["text"], items)[1]}
         if name == "secrets":
@@ -217,5 +217,19 @@ def test_pipeline_stages(spark, tmp_path):
         docs = out
 
 
+def test_near_copies_keep_one_of_equal_rows_and_need_no_other_column(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (3, None), (None, "x y z"), (None, "x y z"), (4, "p q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()  # the next stage ends what this one has staged
+    got = spark.createDataFrame(kept, docs.schema)
+    assert sorted(map(tuple, kept), key=repr) == sorted(
+        [(1, "a b c d e f g"), (3, None), (None, "x y z"), (4, "p q")], key=repr)
+    assert sorted(r["text"] or "" for r in corpus_pipeline.mask_secrets(spark, got, SF).collect()) == ["", "a b c d e f g", "p q", "x y z"]
+    none = docs.filter("doc_id = 99")
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "language":  # which learns from the column lang
+            assert stage(spark, none, SF).count() == 0
+
+
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

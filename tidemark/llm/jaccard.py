@@ -14,7 +14,7 @@ nearly everything and cuts nothing, so the join goes from coarse to fine:
    ``n - ceil(t n) + 1``). Cells that share sets are joined to coarse regions.
 3. A coarse region of at most ``TASK_SETS`` sets is solved in one task: the distances to each pivot in turn, where
    sets already connected or outside the triangle inequality's window of the pivots before need no comparison.
-4. A larger region is first cut by single n-grams as pivots, its rarest first: linked sets share one among their first, so
+4. A larger region is first cut by single n-grams as pivots, its common ones last: linked sets share one among their first, so
    passages that many sets hold bring none together. What is still large then is cut by pivots of its own members into
    Voronoi regions with borders of 2r on each side, in blocks over many tasks; regions whose sets are all connected are
    done, small ones go to step 3, others are cut again. A region that pivots cannot cut is compared block by
@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, components, runs, scan, small_or_not
+from tidemark.llm.common import BROADCAST_ROWS, ROWS_AT_ONCE, components, runs, scan, small_or_not
 from tidemark.session import stage
 
 NGRAM, PERCENT = 4, 85
@@ -46,6 +46,10 @@ PREFIX, CLASS = 32, 1.3
 #: Sets and n-grams that one task compares at once; larger regions are cut.
 TASK_SETS, TASK_GRAMS = 2_000, 4_000_000
 PIVOTS, BLOCK = 24, 1_000
+#: N-grams in so many sets of a region count as common there, as long as they are no more than so many (16 bytes each).
+COMMON, MOST_COMMON = 2, 2_000_000
+#: Sets that a task remembers to have sent (16 bytes each).
+REMEMBERED = 1_000_000
 
 #: Largest size of each class.
 _TOPS = [PREFIX]
@@ -209,23 +213,76 @@ def _met(dealt: DataFrame) -> DataFrame:
             .mapInArrow(run, "a long, b long").distinct())
 
 
+def _dealt(texts: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """Cells (cell, key) of the sets of ``texts`` (_text). A task sends those of equal sets once as long as it remembers them, so a
+    group of copies of any size is a few rows per task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                own, keys = [], []
+                for text in batch.column(0).slice(at, ROWS_AT_ONCE).to_pylist():
+                    grams = gram_set(text, ngram)
+                    if not len(grams):
+                        continue
+                    key, whole = _digest(grams)
+                    if whole in seen:
+                        continue
+                    seen.add(whole)
+                    own.append(np.array(cells(grams, percent), np.int64))
+                    keys.append(np.full(len(own[-1]), key, np.int64))
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.concatenate(keys))], names=["cell", "key"])
+
+    return texts.select("_text").mapInArrow(run, "cell long, key long")
+
+
 def _by_rarest(members: DataFrame, percent: int) -> DataFrame:
     """Smaller regions (region, key) for the members (region, key, grams): sets that share one of their first n-grams, the
-    region's rarest first. What many sets hold then brings no sets together that differ in the rest."""
-    def spread(regions: list, keys: list, grams: list) -> dict[str, list]:
-        return {"region": regions, "key": keys, "grams": [_set(g).view(np.int64).tolist() for g in grams]}
-
-    each = scan(members.select("region", "key", "grams"), spread, "region long, key long, grams array<long>")
-    each = stage(each, "jaccard-grams").select("region", "key", F.explode("grams").alias("gram"))
-    held = stage(each.groupBy("region", "gram").agg(F.count("*").alias("sets")), "jaccard-held")
-    order = (each.join(held, ["region", "gram"]).groupBy("region", "key")
-             .agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("order")))
-    n = F.size("order")
-    first = F.slice("order", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
-    dealt = order.select("key", F.explode(first).alias("g"), "region").select(
-        F.shiftleft(F.xxhash64("region", "g.gram"), 1).alias("cell"), "key")
-    return components(stage(_met(dealt), "jaccard-met"), "jaccard-rare").select(
-        F.col("node").alias("key"), F.col("root").alias("region"))
+    region's common ones last. What many sets hold then brings no sets together that differ in the rest. Any order
+    is exact as long as all sets of a region use the same, so only the most common n-grams need be told apart: at most
+    ``MOST_COMMON`` of them go to the tasks, the others follow their hashes."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for region, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(_in_region(_set(raw), region).view(np.int64))], names=["gram"])
+
+    held = members.select("region", "grams").mapInArrow(spread, "gram long").groupBy("gram").agg(F.count("*").alias("sets"))
+    least = COMMON
+    held = stage(held.filter(F.col("sets") >= least), "jaccard-held")
+    while held.filter(F.col("sets") >= least).count() > MOST_COMMON:
+        least *= 2
+    common = held.filter(F.col("sets") >= least).toArrow()
+    grams = common["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(grams)
+    sent = members.sparkSession.sparkContext.broadcast((grams[order], common["sets"].to_numpy()[order]))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sets = sent.value
+        for batch in batches:
+            for region, key, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = _in_region(_set(raw), region)
+                at = np.searchsorted(known, own)
+                weight = np.zeros(len(own), np.int64)
+                if len(known):
+                    at[at == len(known)] = 0
+                    weight = np.where(known[at] == own, sets[at], 0)
+                n = len(own)
+                chosen = own[np.lexsort((own, weight))[:n - -(-n * percent // 100) + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array((chosen & ~_ONE).view(np.int64)), pa.array(np.full(len(chosen), key, np.int64))],
+                                                 names=["cell", "key"])
+
+    met = stage(_met(members.select("region", "key", "grams").mapInArrow(first, "cell long, key long")), "jaccard-met")
+    sent.unpersist()
+    return components(met, "jaccard-rare").select(F.col("node").alias("key"), F.col("root").alias("region"))
+
+
+def _in_region(grams: np.ndarray, region: int) -> np.ndarray:
+    """Hashes of (region, n-gram)."""
+    with np.errstate(over="ignore"):
+        return _mix(grams ^ _mix(np.array([region], np.int64).view(np.uint64) + _M1))
 
 
 def _to_pivots(members: DataFrame, sizes: DataFrame, salt: int) -> DataFrame:
@@ -327,22 +384,21 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_row"), F.col(text_col).alias("_text"))
 
     def describe(ids: list, rows: list, texts: list) -> dict[str, list]:
-        out = {"doc_id": ids, "_row": rows, "n": [], "key": [], "digest": [], "cells": []}
+        out = {"doc_id": ids, "_row": rows, "n": [], "key": [], "digest": []}
         for text in texts:
             grams = gram_set(text, ngram)
             key, whole = _digest(grams) if len(grams) else (None, None)
-            for name, value in (("n", len(grams)), ("key", key), ("digest", whole), ("cells", cells(grams, percent))):
+            for name, value in (("n", len(grams)), ("key", key), ("digest", whole)):
                 out[name].append(value)
         return out
 
     kind = docs.schema[id_col].dataType.simpleString()
-    first = stage(scan(texts, describe, f"doc_id {kind}, _row long, n long, key long, digest binary, cells array<long>"),
-                  "jaccard-sets")
+    first = stage(scan(texts, describe, f"doc_id {kind}, _row long, n long, key long, digest binary"), "jaccard-sets")
     # One row per different set. Copies meet in the map tasks, so a group of any size sends a row per task.
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
-    classes = stage(first.filter("n > 0").groupBy("digest", "key").agg(
-        lowest.alias("low"), F.first("cells").alias("cells")), "jaccard-classes")
-    near = stage(_met(classes.select("key", F.explode("cells").alias("cell"))), "jaccard-near")
+    classes = stage(first.filter("n > 0").groupBy("digest", "key").agg(lowest.alias("low")), "jaccard-classes")
+    # Cells are made from the texts a second time: carried along, they would be written three times, and 98 % hold a single set.
+    near = stage(_met(_dealt(texts, ngram, percent)), "jaccard-near")
     coarse = components(near, "jaccard-coarse").select(F.col("node").alias("key"), F.col("root").alias("region"))
     member = stage(coarse.join(classes.select("key", "low"), "key")
                    .select("key", "region", F.col("low.doc_id").alias("_id"), F.col("low._row").alias("_key")), "jaccard-member")
