@@ -570,3 +570,65 @@ oracle("training_spans", """
                  coalesce(sum(label), 0) AS ones
           FROM matrix LEFT JOIN labels USING (rebalance_date, ticker) GROUP BY 1) b ON b.k BETWEEN a.k - 12 AND a.k - 1
     WHERE a.k >= 3 GROUP BY a.rebalance_date""", "matrix labels", "share_positive")
+
+
+def spans(window, horizon, labels):
+    """Pairs of folds and training dates, date by date."""
+    low = "0" if window is None else f"a.k - {window}"
+    known = "" if horizon <= 1 else f"AND b.rebalance_date + INTERVAL {horizon} MONTHS <= a.rebalance_date"
+    return f"""
+    WITH numbered AS (SELECT rebalance_date, row_number() OVER (ORDER BY rebalance_date) - 1 AS k FROM matrix GROUP BY 1),
+    own_labels AS ({labels}),
+    pairs AS (SELECT a.rebalance_date AS fold, b.rebalance_date FROM numbered a JOIN numbered b ON b.k BETWEEN {low} AND a.k - 1 {known}
+              WHERE a.k >= 3)"""
+
+
+QUARTER = """SELECT rebalance_date, ticker, CAST(fwd_ret > median(fwd_ret) OVER (PARTITION BY rebalance_date) AS INTEGER) AS label FROM fwd3"""
+for name, window, horizon, labels, need in (
+        ("training_spans_expanding", None, 1, "SELECT * FROM labels", "labels"),
+        ("training_spans_quarter", 12, 3, QUARTER, "fwd3"), ("training_spans_quarter_expanding", None, 3, QUARTER, "fwd3")):
+    oracle(name, f"""SELECT * FROM ({spans(window, horizon, labels)}
+        SELECT fold AS rebalance_date, min(rebalance_date) AS train_start, max(rebalance_date) AS train_end, CAST(sum(n) AS BIGINT) AS n_train,
+               CAST(sum(ones) AS BIGINT) AS n_positive, sum(ones)::DOUBLE / nullif(sum(n), 0) AS share_positive
+        FROM pairs JOIN (SELECT rebalance_date, count(label) AS n, coalesce(sum(label), 0) AS ones
+                         FROM matrix LEFT JOIN own_labels USING (rebalance_date, ticker) GROUP BY 1) USING (rebalance_date) GROUP BY 1)""",
+           f"matrix {need}", "share_positive")
+for name, window, horizon, labels, need, columns in (
+        ("fold_statistics", 12, 1, "SELECT * FROM labels", "labels", FEATS.split()),
+        ("fold_statistics_quarter_expanding", None, 3, QUARTER, "fwd3", ["roe", "mom_12m", "debt_to_equity"])):
+    each = " UNION ALL ".join(f"SELECT rebalance_date, '{c}' AS feature, {c} AS value FROM rows" for c in columns)
+    oracle(name, f"""SELECT * FROM ({spans(window, horizon, labels)},
+        rows AS (SELECT matrix.* FROM matrix JOIN own_labels USING (rebalance_date, ticker) WHERE label IS NOT NULL),
+        each AS ({each}),
+        told AS (SELECT fold, feature, value, median(value) OVER (PARTITION BY fold, feature) AS median FROM pairs JOIN each USING (rebalance_date))
+        SELECT fold AS rebalance_date, feature, count(*) AS n_rows, count(value) AS n_known, any_value(median) AS median,
+               avg(coalesce(value, median)) AS mean, stddev_pop(coalesce(value, median)) AS std FROM told GROUP BY ALL)""",
+           f"matrix {need}", "median mean std")
+oracle("pooled_spans", """
+    SELECT d.date, d.date - 1095 AS train_start, d.date - 8 AS train_end, count(p.ticker) AS n_rows,
+           count(p.ticker) FILTER (NOT whole) AS n_incomplete, count(p.ticker) FILTER (p.label IS NULL) AS n_unlabelled,
+           count(*) FILTER (whole AND p.label IS NOT NULL) AS n_train, count(*) FILTER (whole AND p.label = 1) AS n_positive,
+           count(DISTINCT p.ticker) FILTER (whole AND p.label IS NOT NULL) AS n_tickers
+    FROM (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM panel GROUP BY 1) WHERE k % 21 = 0) d
+    LEFT JOIN (SELECT ticker, date, label, ret_1 + ret_2 + ret_3 + ret_5 + ret_10 + mom_10 + mom_20 + vol_10 + vol_20 + macd_hist
+                      + close_sma20 + close_sma50 + adx_14 IS NOT NULL AS whole FROM panel) p
+    ON p.date BETWEEN d.date - 1095 AND d.date - 8 GROUP BY d.date""", "panel")
+oracle("bars_round_trip", "SELECT * FROM bars", "bars", OHLC)
+ORACLES["summary_csv_round_trip"] = ORACLES["history_status"]
+ORACLES["sectors_json_round_trip"] = ORACLES["sector_scan"]
+oracle("stream_sink", """SELECT ticker, count(*) AS n_headlines, min(published_at) AS first_at, max(published_at) AS last_at
+       FROM heads GROUP BY ticker""", "heads")
+
+LEVELS = f"""
+    SELECT CAST({draw("'calibration'", "CAST(date AS VARCHAR)", "ticker")} % 3 AS INTEGER) AS part, floor(prob_up * 100) / 100 AS score,
+           count(*) AS n, CAST(sum(actual) AS BIGINT) AS ones FROM preds GROUP BY ALL"""
+oracle("calibration_parts", f"""SELECT part, CAST(sum(n) AS BIGINT) AS n, CAST(sum(ones) AS BIGINT) AS ones, count(*) AS n_levels
+       FROM ({LEVELS}) GROUP BY part""", "preds")
+# The nearest non-decreasing steps: the largest, over beginnings, of the smallest mean up to any end.
+oracle("calibrated_isotonic", f"""SELECT * FROM (WITH levels AS ({LEVELS}),
+    upto AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS sn, sum(ones) OVER w AS so FROM levels WINDOW w AS (PARTITION BY part ORDER BY score)),
+    means AS (SELECT a.part, a.i AS a, b.i AS b, (b.so - a.so + a.ones)::DOUBLE / (b.sn - a.sn + a.n) AS m
+              FROM upto a JOIN upto b ON a.part = b.part AND a.i <= b.i),
+    lows AS (SELECT u.part, u.i, a, min(m) AS low FROM upto u JOIN means ON means.part = u.part AND a <= u.i AND b >= u.i GROUP BY ALL)
+    SELECT part, score, n, ones, value FROM upto JOIN (SELECT part, i, max(low) AS value FROM lows GROUP BY ALL) USING (part, i))""",
+       "preds", "value")

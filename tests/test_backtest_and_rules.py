@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import by, close_bars, day, range_bars
+from tidemark import session
 from tidemark.operators import backtest, indicators, metrics, rules
 
 
@@ -113,7 +114,7 @@ def test_high_risk_turns_buy_into_caution(spark):
 def test_every_sentence_of_the_audit_holds(spark):
     closes = [100 + 20 * math.sin(i / 35) + .03 * i for i in range(700)]
     rec = rules.recommendations(rules.month_end_snapshots(range_bars(spark, {"A": closes, "B": closes[:230]})))
-    s = rules.audited_sentences(rec).cache()
+    s = session.stage(rules.audited_sentences(rec), "audited")
     t = rules.audit_totals(s).first()
     assert t.n_sentences == t.n_checkable == t.n_correct > 0 and t.coverage == t.accuracy == 1.0
     assert rules.audit_violations(s).count() == 0 and rules.unmatched_examples(s).count() == 0

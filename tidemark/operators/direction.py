@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidemark import session
-from tidemark.operators import indicators
+from tidemark.operators import folds, indicators
+from tidemark.operators.folds import embargo_days
 from tidemark.operators.models import CalibratedRanker, Ranker, training_stats
 
 GBM_ITERATIONS = 200
@@ -89,10 +90,6 @@ def per_stock_logistic(panel: DataFrame, horizon: int = 5, train: int = 252, ste
             .groupBy("ticker").applyInPandas(forecasts, out))
 
 
-def embargo_days(horizon: int) -> int:
-    return math.ceil(horizon * 1.5)
-
-
 def sampled_dates(panel: DataFrame, step: int = 21, start=None) -> DataFrame:
     """Every ``step``-th distinct date of the panel from ``start``."""
     dates = panel.select("date").distinct()
@@ -119,20 +116,21 @@ def pooled_walk_forward(panel: DataFrame, kind: str = "logistic", horizon: int =
                         min_train: int = 200, start=None, calibrate: bool = True, method: str = "sigmoid",
                         options: dict | None = None, parallel: int = 8) -> DataFrame:
     """One model per sampled date on all stocks' rows of the trailing window, then a prediction for
-    every stock on that date. Only the sampled dates come to the driver; a few dates run at a time
+    every stock on that date. Training sets of all dates are counted at once (``folds.pooled_spans``); only that row per
+    date comes to the driver, dates without enough rows or a second class are left out, a few dates run at a time
     and each writes its predictions."""
     spark = panel.sparkSession
     names = feature_names(panel)
     staged = session.stage(panel.select("ticker", "date", "label", *names), "direction_panel")
-    days = [r["date"] for r in sampled_dates(staged, step, start).orderBy("date").collect()]
+    spans = folds.pooled_spans(staged, sampled_dates(staged, step, start), names, horizon, years)
+    spans = spans.where((F.col("n_train") >= min_train) & F.col("n_positive").between(F.lit(1), F.col("n_train") - 1))
+    spans = spans.orderBy("date").collect()
     out = f"{session.run_dir(spark)}/direction-{uuid.uuid4().hex}"
 
     def one(k: int) -> bool:
-        day = days[k]
+        day, n = spans[k]["date"], spans[k]["n_train"]
         train = _training_rows(staged, names, day, horizon, years)
-        stats = training_stats(train, names)
-        if stats["n"] < min_train or stats["ones"] in (0, stats["n"]):
-            return False
+        stats = {"n": n, "ones": spans[k]["n_positive"], "seen": dict.fromkeys(names, n)}
         train = session.training_layout(train, ["ticker", "date"]).persist()
         try:
             fitted = _model(kind, calibrate, method, options).fit(train, names, stats)
@@ -144,7 +142,7 @@ def pooled_walk_forward(panel: DataFrame, kind: str = "logistic", horizon: int =
         return True
 
     with ThreadPoolExecutor(parallel) as pool:
-        wrote = any(list(pool.map(one, range(len(days)))))
+        wrote = any(list(pool.map(one, range(len(spans)))))
     if not wrote:
         return spark.createDataFrame([], "ticker string, date date, prob_up double, actual int")
     return spark.read.parquet(out).select("ticker", "date", "prob_up", "actual")

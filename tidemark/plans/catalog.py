@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import schemas, session
 from tidemark.functions.numeric import rounded
-from tidemark.operators import (asof, backtest, direction, evaluation, features, fundamentals, indicators, metrics,
+from tidemark.operators import (asof, backtest, direction, evaluation, features, folds, fundamentals, indicators, metrics, models,
                                 montecarlo, ranks, rules, selection, sentiment)
 from tidemark.operators.selection import DATE
 from tidemark.plans import books, walk_forward
-from tidemark.sources import market_views as views, news, tables
+from tidemark.sources import market_views as views, news, sinks, tables
 
 AS_OF = "2000-01-31"
 POSITIVE, NEGATIVE = ("purchase", "signup"), ("error",)
@@ -764,6 +764,23 @@ def stream_sentiment(m):
     return _drain(trailing_sentiment(_as_stream(m.scored_headlines, "headlines", "published_at")))
 
 
+@query
+def stream_sink(m):
+    """Scored headlines through a sink keyed by batch, each batch delivered twice."""
+    path = f"{session.run_dir(m.spark)}/sink-{uuid.uuid4().hex}"
+    write = sinks.batch_sink(path)
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        write(batch, batch_id)
+
+    stream = _as_stream(m.scored_headlines, "headlines", "published_at")
+    (stream.writeStream.foreachBatch(twice).trigger(availableNow=True)
+     .option("checkpointLocation", f"{path}-state").start().awaitTermination())
+    return sinks.read_batches(m.spark, path, stream.schema).groupBy("ticker").agg(
+        F.count("*").alias("n_headlines"), F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"))
+
+
 @query
 def stream_positions(m):
     from tidemark.streaming.positions import held_positions
@@ -823,3 +840,101 @@ def pooled_direction_latest(m):
 @query
 def training_spans(m):
     return walk_forward.training_spans(m.matrix, m.labels)
+
+
+@query
+def training_spans_expanding(m):
+    """Folds that train on every date before theirs."""
+    return walk_forward.training_spans(m.matrix, m.labels, train_window=None)
+
+
+def _quarter_labels(m) -> DataFrame:
+    returns = session.stage(features.forward_returns(m.bars, m.calendar, 3, 1), "forward")
+    return session.stage(features.relative_labels(returns), "labels")
+
+
+@query
+def training_spans_quarter(m):
+    """Labels of three months: the newest dates of a window are not known yet."""
+    return walk_forward.training_spans(m.matrix, _quarter_labels(m), horizon_months=3)
+
+
+@query
+def training_spans_quarter_expanding(m):
+    return walk_forward.training_spans(m.matrix, _quarter_labels(m), train_window=None, horizon_months=3)
+
+
+@query
+def fold_statistics(m):
+    """Exact medians, and means and deviations after imputation, that the folds of a ranker use."""
+    return walk_forward.fold_statistics(m.matrix, m.labels)
+
+
+@query
+def fold_statistics_quarter_expanding(m):
+    return walk_forward.fold_statistics(m.matrix, _quarter_labels(m), ["roe", "mom_12m", "debt_to_equity"],
+                                        train_window=None, horizon_months=3)
+
+
+@query
+def pooled_spans(m):
+    """What the pooled direction model trains on at each prediction date."""
+    panel = session.stage(m.panel, "panel")
+    return folds.pooled_spans(panel, direction.sampled_dates(panel), direction.feature_names(panel))
+
+
+# ---- sinks -------------------------------------------------------------------------------------
+
+def _sink_path(m) -> str:
+    return f"{session.run_dir(m.spark)}/sink-{uuid.uuid4().hex}"
+
+
+@query
+def bars_round_trip(m):
+    """Bars delivered in two overlapping parts, the second one twice: stored once each."""
+    path, bars = _sink_path(m), session.stage(m.raw, "raw")
+    sinks.write_bars(bars.where("date < DATE '1996-07-01'").withColumn("close", F.col("close") + 1), path)
+    for _ in range(2):
+        sinks.merge_bars(bars.where("date < DATE '1995-01-01'"), path)
+        sinks.merge_bars(bars.where("date >= DATE '1995-01-01'"), path)
+    return sinks.read_bars(m.spark, path, bars.schema)
+
+
+@query
+def summary_csv_round_trip(m):
+    path, table = _sink_path(m), session.stage(tables.history_status(m.raw, 530), "status")
+    for _ in range(2):
+        sinks.write_summary_csv(table, path)
+    return m.spark.read.schema(table.schema).csv(path, header=True)
+
+
+@query
+def sectors_json_round_trip(m):
+    path, table = _sink_path(m), session.stage(m.sectors, "sectors")
+    for _ in range(2):
+        sinks.write_json(table, path)
+    return m.spark.read.schema(table.schema).json(path)
+
+
+# ---- calibration -------------------------------------------------------------------------------
+
+def _levels(m) -> DataFrame:
+    """Given scores in hundredths: what a calibrator of each part is fitted on."""
+    rows = m.predictions.select("ticker", "date", (F.floor(F.col("prob_up") * 100) / 100).alias("score"), F.col("actual").alias("label"))
+    return models.score_levels(models.with_part(rows, ["date", "ticker"], 3), ["part", "score"])
+
+
+@query
+def calibration_parts(m):
+    """Rows and positives of the parts that calibrators are fitted on."""
+    return _levels(m).groupBy("part").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"), F.count("*").alias("n_levels"))
+
+
+@query
+def calibrated_isotonic(m):
+    return models.calibrated_levels(_levels(m), 3, "isotonic")
+
+
+@query
+def calibrated_sigmoid(m):
+    return models.calibrated_levels(_levels(m), 3, "sigmoid")
