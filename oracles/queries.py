@@ -632,3 +632,18 @@ oracle("calibrated_isotonic", f"""SELECT * FROM (WITH levels AS ({LEVELS}),
     lows AS (SELECT u.part, u.i, a, min(m) AS low FROM upto u JOIN means ON means.part = u.part AND a <= u.i AND b >= u.i GROUP BY ALL)
     SELECT part, score, n, ones, value FROM upto JOIN (SELECT part, i, max(low) AS value FROM lows GROUP BY ALL) USING (part, i))""",
        "preds", "value")
+oracle("located_histogram", """
+    SELECT bin, CASE WHEN bin >= 0 THEN lo + bin * (hi - lo) / 20 END AS lower, CASE WHEN bin < 20 THEN lo + (bin + 1) * (hi - lo) / 20 END AS upper,
+           count(*) FILTER (draw >= 0) AS n, max((draw < 0)::INT) = 1 AS holds_real FROM (
+      SELECT CAST(CASE WHEN mean_auc < lo THEN -1 WHEN mean_auc > hi THEN 20
+                       ELSE least(19, floor((mean_auc - lo) / (hi - lo) * 20)) END AS INTEGER) AS bin, lo, hi, draw
+      FROM perm_draws, (SELECT min(mean_auc) AS lo, max(mean_auc) AS hi FROM perm_draws WHERE draw >= 0)) GROUP BY bin, lo, hi""",
+       "perm_draws", "lower upper")
+oracle("aligned_positions", """
+    SELECT b.ticker, b.date, b.close, coalesce(s.position, 0)::DOUBLE AS position FROM bars b
+    ASOF LEFT JOIN (SELECT ticker, date, position FROM signals WHERE day(date) % 5 = 0) s ON b.ticker = s.ticker AND b.date >= s.date""",
+       "bars signals", "close position")
+oracle("timestamps_in_utc", """
+    SELECT CAST(moment AS DATE) AS date, count(*) AS n, min(moment) AS first_at, max(moment) AS last_at FROM (
+      SELECT CASE WHEN event_id % 50 = 7 THEN NULL ELSE date_trunc('second', ts) - CASE event_id % 3 WHEN 1 THEN INTERVAL 330 MINUTE
+                  WHEN 2 THEN INTERVAL (-480) MINUTE ELSE INTERVAL 0 MINUTE END END AS moment FROM events) GROUP BY 1""")

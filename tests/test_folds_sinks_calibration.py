@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import by, calendar, close_bars, day
 from tidemark import schemas, session
-from tidemark.operators import direction, folds, indicators, models
+from tidemark.operators import direction, folds, models, montecarlo
 from tidemark.plans import walk_forward
 from tidemark.sources import sinks
 from tidemark.streaming import positions
@@ -169,6 +169,15 @@ def test_parts_do_not_depend_on_the_layout(spark):
     assert all(60 < sum(r["part"] == p for r in parts[0].values()) < 140 for p in range(3))
 
 
+@pytest.mark.parametrize("real,place", [(0.1, -1), (0.25, 0), (0.75, 10), (1.0, 15), (1.25, 19), (2.0, 20), (None, None)])
+def test_the_real_value_is_located(spark, real, place):
+    draws = spark.createDataFrame([(0.25,), (0.26,), (1.25,), (None,), (0.7501,)], "auc double")
+    got = by(montecarlo.located_histogram(draws, "auc", spark.createDataFrame([(real,)], "auc double")), "bin")
+    assert sum(r["n"] for r in got.values()) == 4 and [b for b, r in got.items() if r["holds_real"]] == ([] if real is None else [place])
+    plain = by(montecarlo.histogram(draws, "auc"), "bin")
+    assert {b: r["n"] for b, r in got.items() if r["n"]} == {b: r["n"] for b, r in plain.items()}
+
+
 # ---- sinks
 
 def test_merged_bars_are_stored_once(spark, tmp_path):

@@ -298,3 +298,19 @@ def histogram(values: DataFrame, column: str, real: float | None = None, bins: i
     if real is None:
         return out
     return out.withColumn("holds_real", (F.col("lower") <= real) & (F.lit(real) < F.col("upper")))
+
+
+def located_histogram(values: DataFrame, column: str, real: DataFrame, bins: int = 20) -> DataFrame:
+    """``histogram`` with the real value (``real``: one row with ``column``) located in it: ``holds_real`` marks its bin, which is
+    there even without draws. A value below all draws is in bin -1, one above them in bin ``bins``, both without draws."""
+    known = values.where(F.col(column).isNotNull())
+    ends = known.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    rows = known.select(F.col(column).alias("_v"), F.lit(0).alias("_real")).union(real.select(F.col(column), F.lit(1)).where(F.col(column).isNotNull()))
+    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+    inner = F.when(hi > lo, F.least(F.lit(bins - 1), F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * bins))).otherwise(0)
+    place = F.when(v < lo, -1).when(v > hi, bins).otherwise(inner).cast("int")
+    counts = rows.join(F.broadcast(ends)).groupBy(place.alias("bin"), "_lo", "_hi").agg(
+        F.sum(1 - F.col("_real")).cast("long").alias("n"), (F.max("_real") == 1).alias("holds_real"))
+    width = (hi - lo) / bins
+    return counts.select("bin", F.when(F.col("bin") >= 0, lo + F.col("bin") * width).alias("lower"),
+                         F.when(F.col("bin") < bins, lo + (F.col("bin") + 1) * width).alias("upper"), "n", "holds_real")

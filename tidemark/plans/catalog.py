@@ -938,3 +938,29 @@ def calibrated_isotonic(m):
 @query
 def calibrated_sigmoid(m):
     return models.calibrated_levels(_levels(m), 3, "sigmoid")
+
+
+# ---- further checks ----------------------------------------------------------------------------
+
+@query
+def located_histogram(m):
+    """Where the real mean AUC stands among those of permuted labels."""
+    draws = session.stage(montecarlo.permutation_draws(m.scored, 3), "draws")
+    return montecarlo.located_histogram(draws.where("draw >= 0"), "mean_auc", draws.where("draw < 0"))
+
+
+@query
+def aligned_positions(m):
+    """Positions decided on every fifth day of a month, held on all trading days."""
+    decided = rules.rule_signals(m.raw).where(F.dayofmonth("date") % 5 == 0).select("ticker", "date", "position")
+    return metrics.align_positions(m.raw.select("ticker", "date", "close"), decided, ["ticker"])
+
+
+@query
+def timestamps_in_utc(m):
+    """Event times written with offsets of several zones, and some that cannot be read, by day in UTC."""
+    offset = F.element_at(F.array(F.lit("+00:00"), F.lit("+05:30"), F.lit("-08:00")), (F.col("event_id") % 3 + 1).cast("int"))
+    text = F.when(F.col("event_id") % 50 == 7, "no time").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), offset))
+    told = views.table(m.spark, m.dir, "events").select("event_id", text.alias("text"))
+    return told.select(tables.utc_date("text").alias("date"), tables.utc_timestamp("text").alias("at")).groupBy("date").agg(
+        F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
