@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,22 @@ def test_query_like_brute_force(spark):
 
 # Nearest neighbours
 
+def test_files_meet_in_shards():
+    n = neighbours.BLOCK
+    held = [10, n - 10, 1, 3 * n + 1, 5, 0, n, 7]
+    first, blocks = neighbours._shards(held)
+    assert first == [0, 0, 1, 2, 6, 6, 7, 8] and blocks == [1, 1, 1, 4, 1, 1, 1, 1]
+
+
+def test_queries_of_a_shard_come_in_pieces():
+    asks = neighbours._ASKS
+    rows = [(0, 1, 5), (0, asks, 6), (1, asks, 7), (2, 3, 8), (3, 4, 9)] + [(3, asks, i) for i in range(600)]
+    batches = [pa.RecordBatch.from_pydict(dict(zip("scv", zip(*rows[i:i + 100], strict=True), strict=True)))
+               for i in range(0, len(rows), 100)]
+    got = [(own, [len(p) for p in asking]) for own, asking in neighbours._shard_groups(iter(batches))]
+    assert got == [([(1, 5)], [1]), ([(3, 8)], []), ([(4, 9)], [256, 256, 88])]
+
+
 def test_recall_and_scores(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(3000, 24)).astype(np.float32)
