@@ -618,6 +618,12 @@ ORACLES["summary_csv_round_trip"] = ORACLES["history_status"]
 ORACLES["sectors_json_round_trip"] = ORACLES["sector_scan"]
 oracle("stream_sink", """SELECT ticker, count(*) AS n_headlines, min(published_at) AS first_at, max(published_at) AS last_at
        FROM heads GROUP BY ticker""", "heads")
+oracle("ticker_file_report", """
+    SELECT ticker, count(*) AS n_rows, count(*) FILTER (day(date) = 13 OR day(date) = 21) AS n_problems,
+           count(*) FILTER (day(date) = 13) AS n_undated, count(close) FILTER (day(date) <> 13 AND day(date) <> 21) AS n_closes,
+           sum(close) FILTER (day(date) <> 13 AND day(date) <> 21) AS total_close, min(date) FILTER (day(date) <> 13) AS first_date
+    FROM bars GROUP BY ticker""", "bars", "total_close")
+oracle("ticker_file_bars", "SELECT * FROM bars WHERE ticker IN ('S1', 'S7')", "bars", OHLC)
 
 LEVELS = f"""
     SELECT CAST({draw("'calibration'", "CAST(date AS VARCHAR)", "ticker")} % 3 AS INTEGER) AS part, floor(prob_up * 100) / 100 AS score,

@@ -13,7 +13,7 @@ from tidemark.operators import (asof, backtest, direction, evaluation, features,
                                 montecarlo, ranks, rules, selection, sentiment)
 from tidemark.operators.selection import DATE
 from tidemark.plans import books, walk_forward
-from tidemark.sources import market_views as views, news, sinks, tables
+from tidemark.sources import market_views as views, news, sinks, tables, ticker_files
 
 AS_OF = "2000-01-31"
 POSITIVE, NEGATIVE = ("purchase", "signup"), ("error",)
@@ -33,8 +33,9 @@ class Market:
 
     @cached_property
     def bars(self) -> DataFrame:
-        """Total-return bars, staged."""
-        return session.stage(tables.load_prices(self.raw), "bars")
+        """Total-return bars, staged by ticker, so that no branch shuffles them by ticker again."""
+        return session.stage_bucketed(tables.load_prices(self.raw), "bars", "ticker", ["ticker", "date"],
+                                      self.spark.sparkContext.defaultParallelism)
 
     @cached_property
     def calendar(self) -> DataFrame:
@@ -916,6 +917,30 @@ def sectors_json_round_trip(m):
     return m.spark.read.schema(table.schema).json(path)
 
 
+@query
+def ticker_file_report(m):
+    """Bars as one file per ticker, some with an unreadable date or close, read back: what each file holds."""
+    path = _sink_path(m)
+    day = F.dayofmonth("date")
+    text = m.raw.select(*[F.col(c).cast("string").alias(c) for c in schemas.BARS.fieldNames()], day.alias("day"))
+    text = text.withColumn("date", F.when(F.col("day") == 13, "no date").otherwise(F.col("date")))
+    text = text.withColumn("close", F.when(F.col("day") == 21, "n/a").otherwise(F.col("close")))
+    ticker_files.write_ticker_files(text, path)
+    rows = ticker_files.price_rows(m.spark, path)
+    good = ticker_files.bars_of(rows).groupBy("ticker").agg(
+        F.count("close").alias("n_closes"), F.sum("close").alias("total_close"), F.min("date").alias("first_date"))
+    return ticker_files.file_report(rows).drop("first_problem").join(good, "ticker", "left")
+
+
+@query
+def ticker_file_bars(m):
+    """Two tickers out of a folder of one file per ticker: the filter opens only their files."""
+    path = _sink_path(m)
+    ticker_files.write_ticker_files(m.raw, path)
+    rows = ticker_files.price_rows(m.spark, path)
+    return ticker_files.bars_of(rows.where(F.col("ticker").isin("S1", "S7")))
+
+
 # ---- calibration -------------------------------------------------------------------------------
 
 def _levels(m) -> DataFrame:

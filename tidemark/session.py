@@ -64,6 +64,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def end_run(spark: SparkSession) -> None:
     """Delete what this application has staged. Call it when no result of the run is read any more."""
     spark.catalog.clearCache()
+    for table in _bucketed.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     _delete(spark, run_dir(spark))
 
 
@@ -107,6 +109,25 @@ def stage(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
+_bucketed: dict[str, list[str]] = {}
+
+
+def stage_bucketed(df: DataFrame, name: str, key: str, order: list[str], buckets: int) -> DataFrame:
+    """Stage ``df`` dealt over ``buckets`` by a hash of ``key``, each sorted by ``order`` and written by one task.
+
+    Windows, groups and joins by ``key`` read such a table without a shuffle. ``buckets`` is a statement about size: a
+    bucket is one task's input, so take as many as cores at least and more where a bucket would not fit. A key's
+    rows must fit one task, as they must for a window over them.
+    """
+    spark = df.sparkSession
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    table = f"tidemark_{uuid.uuid4().hex}"
+    (df.repartition(buckets, key).sortWithinPartitions(*order).write.format("parquet").option("path", path)
+     .bucketBy(buckets, key).sortBy(*order).saveAsTable(table))
+    _bucketed.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return spark.table(table).select(df.columns)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Enough partitions for work that multiplies rows. Small inputs arrive in one or two files and
     would be expanded by as many tasks; large ones already come in many and are left alone. ``df``
