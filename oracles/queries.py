@@ -344,14 +344,41 @@ oracle("information_summary", """
     SELECT avg(ic) AS mean_ic, stddev_samp(ic) AS ic_std, avg(ic) / stddev_samp(ic) AS icir,
            avg(ic) / stddev_samp(ic) * sqrt(count(*)) AS ic_t_stat, count(*) AS n_periods FROM ics""", "ics",
        "mean_ic ic_std icir ic_t_stat")
-oracle("long_short", """
+LEGS = """
     SELECT rebalance_date, coalesce(avg(ret) FILTER (k1 <= k), 0) AS long_ret,
            coalesce(avg(ret) FILTER (n - k1 < k), 0) AS short_ret,
            coalesce(avg(ret) FILTER (k1 <= k), 0) - coalesce(avg(ret) FILTER (n - k1 < k), 0) AS spread
     FROM (SELECT *, row_number() OVER (PARTITION BY rebalance_date ORDER BY score DESC, md5(ticker), ticker) AS k1,
                  count(*) OVER (PARTITION BY rebalance_date) AS n,
                  greatest(1, ceil(count(*) OVER (PARTITION BY rebalance_date) * 0.1::DOUBLE)) AS k
-          FROM pairs) WHERE n >= 2 GROUP BY rebalance_date""", "pairs", "long_ret short_ret spread")
+          FROM pairs) WHERE n >= 2 GROUP BY rebalance_date"""
+oracle("long_short", LEGS, "pairs", "long_ret short_ret spread")
+
+
+def as_rows(section, key, sql):
+    """The columns of a small table as rows of a report."""
+    return f"""SELECT '{section}' AS section, key, metric, value FROM (
+        SELECT CAST({key} AS VARCHAR) AS key, COLUMNS(* EXCLUDE ({key}))::DOUBLE FROM ({sql})
+        ) UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(* EXCLUDE (key))))"""
+
+
+SPREADS = f"SELECT 'long_short' AS series, rebalance_date AS entry_date, spread AS r FROM ({LEGS})"
+oracle("selection_report", " UNION ALL ".join([
+    *[as_rows("metrics", "series", f"""SELECT series, {bundle('', 'r', 'd_r', 0.0, 12)}, count(*) AS n_periods
+                                     FROM ({drawn(x, 'series', 'entry_date', 'r')}) GROUP BY series""") for x in (SERIES, SPREADS)],
+    """SELECT 'ranking', 'all', metric, value FROM (
+    SELECT 'precision_at_n' AS metric, avg(precision) AS value FROM hits3
+    UNION ALL SELECT 'mean_auc', avg(auc) FROM aucs UNION ALL SELECT 'base_rate', avg(label) FROM scored
+    UNION ALL SELECT 'n_folds', count(DISTINCT rebalance_date)::DOUBLE FROM scored)""",
+    as_rows("yearly", "year", """SELECT year(entry_date) AS year, product(1 + net) - 1 AS strategy_return,
+           product(1 + benchmark) - 1 AS benchmark_return, count(*) AS periods, avg((net > benchmark)::INT) AS win_rate
+           FROM streams WHERE net IS NOT NULL GROUP BY ALL"""),
+    as_rows("avg_turnover", "whole", "SELECT 'all' AS whole, coalesce(avg(turnover), 0) AS avg_turnover FROM streams WHERE net IS NOT NULL"),
+    as_rows("win_rate", "whole", "SELECT 'all' AS whole, coalesce(avg((net > benchmark)::INT), 0) AS win_rate FROM streams WHERE net IS NOT NULL"),
+    as_rows("information", "whole", """SELECT 'all' AS whole, avg(ic) AS mean_ic, stddev_samp(ic) AS ic_std, avg(ic) / stddev_samp(ic) AS icir,
+           avg(ic) / stddev_samp(ic) * sqrt(count(*)) AS ic_t_stat, count(*) AS n_periods FROM ics"""),
+]), "streams hits3 aucs scored ics pairs", "value")
+
 oracle("permutation_draws", "SELECT * FROM perm_draws", "perm_draws", "mean_auc precision")
 oracle("permutation_test", """
     SELECT count(*) AS n_permutations, any_value(ra) AS real_mean_auc, any_value(rp) AS real_precision,

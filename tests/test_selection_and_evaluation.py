@@ -298,6 +298,37 @@ def test_ablation_reports_both_variants(world):
     assert {r[0] for r in only.select("variant").distinct().collect()} == {"without_roe"}
 
 
+def test_paired_reports_tell_what_a_column_adds(spark, world):
+    bars, matrix, labels, *_ = world
+
+    def score(m):  # quality where it is there, else the wrong way round
+        return m.select("rebalance_date", "ticker", (F.col("roe") if "roe" in m.columns else F.ascii("ticker").cast("double")).alias("score"))
+
+    config = books.SelectionConfig(top_n=1)
+    got = by(books.paired_reports(books.ablation(matrix, "roe", score), "roe", labels, bars, config), "section", "key", "metric")
+    alone = by(books.report_table(books.selection_report(score(matrix), labels, bars, config)), "section", "key", "metric")
+    other = by(books.report_table(books.selection_report(score(matrix.drop("roe")), labels, bars, config)), "section", "key", "metric")
+    assert set(got) == set(alone) | set(other) and len(got) > 20
+    for k, r in got.items():
+        assert r.with_value == (alone[k].value if k in alone else None)
+        assert r.without_value == (other[k].value if k in other else None)
+        assert r.difference == (r.with_value - r.without_value if None not in (r.with_value, r.without_value) else None)
+    assert got["metrics", "strategy", "cumulative_return"].difference > 0
+    assert got["metrics", "market", "cumulative_return"].difference == 0
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e-9])
+def test_pooled_auc_of_bunched_probabilities(spark, spread):
+    """Many distinct values within a billionth are cut like any others; a missing probability takes no part."""
+    rng = np.random.default_rng(1)
+    p, a = .5 + spread * (rng.random(4000) - .5), rng.integers(0, 2, 4000)
+    pos, neg = p[a == 1], p[a == 0]
+    want = ((pos[:, None] > neg).sum() + .5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+    frame = _preds(spark, p, a.tolist())
+    odd = frame.limit(5).withColumn("prob_up", F.lit(None).cast("double"))
+    assert evaluation.pooled_auc(frame.unionByName(odd)).first().auc == pytest.approx(want, abs=1e-12)
+
+
 def test_candidates_skip_the_first_dates(world):
     _, matrix, *_ = world
     assert selection.candidates(matrix, 3).select("rebalance_date").distinct().count() == 11

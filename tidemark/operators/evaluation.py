@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark import session
-from tidemark.functions.numeric import safe_div
+from tidemark.functions.numeric import null_safe_join, safe_div
 from tidemark.operators import asof, ranks
 from tidemark.operators.selection import DATE, top_n
 
@@ -140,7 +140,6 @@ def long_short(pairs: DataFrame, quantile: float = 0.1) -> DataFrame:
 # ---- direction predictions ---------------------------------------------------------------------
 
 COVERAGES = (1.0, 0.8, 0.6, 0.4, 0.2)
-PROBABILITY_GRID = 1 << 16
 
 
 def prediction_summary(predictions: DataFrame, by=()) -> DataFrame:
@@ -178,17 +177,20 @@ def _by_probability(predictions: DataFrame, by) -> DataFrame:
         F.sum(F.col("actual").cast("bigint")).alias("up"), F.count("*").alias("n"))
 
 
-def _running_before(df: DataFrame, by, order: str, counts: list[str], cell: F.Column) -> DataFrame:
-    """Totals of ``counts`` over all rows with a smaller ``order``, per group, without sorting a
-    group in one task: inside cells of the value range first, then over the cells' totals."""
-    df = df.withColumn("_cell", cell)
+def _running_before(df: DataFrame, by, order: str, counts: list[str]) -> DataFrame:
+    """Totals of ``counts`` over all rows with a smaller ``order``, per group; ``order`` is unique in a group, and rows
+    without one are left out. No group is sorted in one task: Spark cuts the rows into ranges at cut points that it
+    samples, so ranges are even however the values bunch. Totals run inside ranges first, then over the ranges' totals."""
+    by = list(by)
+    cut = df.where(F.col(order).isNotNull()).repartitionByRange(*by, order).withColumn("_cell", F.spark_partition_id())
+    df = session.stage(cut, "ranges")  # a range is what a task wrote
     w_cell = Window.partitionBy(*by, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    w_grid = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    w_ranges = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = df.groupBy(*by, "_cell").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts])
-    cells = cells.select(*by, "_cell", *[F.coalesce(F.sum(f"_t_{c}").over(w_grid), F.lit(0)).alias(f"_b_{c}")
+    cells = cells.select(*by, "_cell", *[F.coalesce(F.sum(f"_t_{c}").over(w_ranges), F.lit(0)).alias(f"_b_{c}")
                                          for c in counts])
     inner = df.select("*", *[F.coalesce(F.sum(c).over(w_cell), F.lit(0)).alias(f"_i_{c}") for c in counts])
-    out = inner.join(cells, [*by, "_cell"])
+    out = null_safe_join(inner, cells, [*by, "_cell"])
     return out.select(*[c for c in df.columns if c != "_cell"],
                       *[(F.col(f"_i_{c}") + F.col(f"_b_{c}")).alias(f"before_{c}") for c in counts])
 
@@ -197,8 +199,7 @@ def pooled_auc(predictions: DataFrame, by=()) -> DataFrame:
     """AUC over all predictions of a group; NULL when only one class occurs."""
     by = list(by)
     v = _by_probability(predictions, by).withColumn("down", F.col("n") - F.col("up"))
-    cell = F.floor(F.col("prob_up") * PROBABILITY_GRID)
-    v = _running_before(v, by, "prob_up", ["down"], cell)
+    v = _running_before(v, by, "prob_up", ["down"])
     ups, downs = F.sum("up").cast("double"), F.sum("down").cast("double")
     area = F.sum(F.col("up") * (F.col("before_down") + F.col("down") / F.lit(2.0)))
     return v.groupBy(*by).agg(F.when((ups > 0) & (downs > 0), area / F.nullif(ups * downs, F.lit(0.0))).alias("auc"))
@@ -222,8 +223,7 @@ def selective_accuracy(predictions: DataFrame, by=(), coverages=COVERAGES) -> Da
         F.struct(F.lit(float(c)).alias("coverage"), keep(float(c)).alias("keep")) for c in coverages]))), "cuts")
     levels = (rows.groupBy(*by, "confidence").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
               .withColumn("_doubt", -F.col("confidence")))
-    cell = F.floor((F.lit(0.5) - F.col("confidence")) * PROBABILITY_GRID)
-    levels = session.stage(_running_before(levels, by, "_doubt", ["n", "hits"], cell), "levels")
+    levels = session.stage(_running_before(levels, by, "_doubt", ["n", "hits"]), "levels")
     edge = levels.join(cuts, by).where(
         (F.col("before_n") < F.col("keep")) & (F.col("before_n") + F.col("n") >= F.col("keep"))
     ).withColumn("take", F.col("keep") - F.col("before_n"))

@@ -66,6 +66,42 @@ def selection_report(scores: DataFrame, labels: DataFrame, bars: DataFrame,
     }
 
 
+def _long(df: DataFrame, section: str, key: str | None = None) -> DataFrame:
+    """The number columns of a small table as rows: section, key, metric, value."""
+    columns = [c for c in df.columns if c != key]
+    named = F.col(key).cast("string") if key else F.lit("all")
+    return (df.select(F.lit(section).alias("section"), named.alias("key"), *[F.col(c).cast("double").alias(c) for c in columns])
+            .unpivot(["section", "key"], columns, "metric", "value"))
+
+
+def report_table(report: dict[str, DataFrame]) -> DataFrame:
+    """Every figure of a ``selection_report`` as one table: section, key (series, year or ``all``), metric, value."""
+    parts = [
+        _long(report["metrics"], "metrics", "series"),
+        _long(report["long_short"], "metrics", "series"),
+        report["ranking"].select(F.lit("ranking").alias("section"), F.lit("all").alias("key"), "metric", F.col("value").cast("double")),
+        _long(report["yearly"], "yearly", "year"),
+        *[_long(report[name], name) for name in ("avg_turnover", "win_rate", "information")],
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def paired_reports(variants: DataFrame, drop: str, labels: DataFrame, bars: DataFrame,
+                   config: SelectionConfig = SelectionConfig()) -> DataFrame:
+    """The reports of both variants of ``ablation`` side by side: section, key, metric, ``with_value``, ``without_value`` and
+    their ``difference`` (with minus without). A figure that only one variant has is NULL in the other."""
+    variants = session.stage(variants, "variants")
+    sides = {}
+    for side in ("with", "without"):
+        scores = variants.where(F.col("variant") == f"{side}_{drop}").drop("variant")
+        sides[side] = report_table(selection_report(scores, labels, bars, config)).withColumnRenamed("value", f"{side}_value")
+    return (sides["with"].join(sides["without"], ["section", "key", "metric"], "full")
+            .withColumn("difference", F.col("with_value") - F.col("without_value")))
+
+
 def ablation(matrix: DataFrame, drop: str, score) -> DataFrame:
     """Run ``score`` (matrix -> scores) with and without one column, tagged by ``variant``."""
     without = score(features.drop_features(matrix, drop)).withColumn("variant", F.lit(f"without_{drop}"))

@@ -819,11 +819,28 @@ def selection_run_logistic(m):
 
 
 @query
-def sentiment_ablation(m):
-    """Newest cross-section scored with and without the sentiment column."""
+def selection_report(m):
+    """All figures of the momentum book: metrics, ranking, years, turnover, information, long and short legs."""
+    return books.report_table(books.selection_report(m.scores, m.labels, m.bars, CONFIG))
+
+
+def _ablation(m) -> DataFrame:
     s = sentiment.sentiment_feature(m.scored_headlines, m.calendar, 40)
     matrix = session.stage(features.with_sentiment(_ranked(m), s), "with_sentiment")
-    return books.ablation(matrix, "sentiment", lambda x: walk_forward.latest_scores(x, m.labels, "logistic"))
+    return books.ablation(matrix, "sentiment", lambda x: walk_forward.walk_forward_scores(
+        x, m.labels, "logistic", calendar=m.calendar))
+
+
+@query
+def sentiment_ablation(m):
+    """Every date scored with and without the sentiment column."""
+    return _ablation(m)
+
+
+@query
+def sentiment_ablation_report(m):
+    """Both books' figures and their differences."""
+    return books.paired_reports(_ablation(m), "sentiment", m.labels, m.bars, CONFIG)
 
 
 @query
