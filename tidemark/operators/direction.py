@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidemark import session
-from tidemark.operators import folds, indicators
+from tidemark.operators import folds, indicators, logistic
 from tidemark.operators.folds import embargo_days
 from tidemark.operators.models import CalibratedRanker, Ranker, training_stats
 
@@ -117,14 +117,17 @@ def pooled_walk_forward(panel: DataFrame, kind: str = "logistic", horizon: int =
                         options: dict | None = None, parallel: int = 8) -> DataFrame:
     """One model per sampled date on all stocks' rows of the trailing window, then a prediction for
     every stock on that date. Training sets of all dates are counted at once (``folds.pooled_spans``); only that row per
-    date comes to the driver, dates without enough rows or a second class are left out, a few dates run at a time
-    and each writes its predictions."""
+    date comes to the driver, and dates without enough rows or a second class are left out. Logistic models of all
+    dates, and their calibration curves, are fitted together (``logistic``); for other kinds, isotonic steps or options of
+    the estimator a few dates run at a time and each writes its predictions."""
     spark = panel.sparkSession
     names = feature_names(panel)
     staged = session.stage(panel.select("ticker", "date", "label", *names), "direction_panel")
     spans = folds.pooled_spans(staged, sampled_dates(staged, step, start), names, horizon, years)
     spans = spans.where((F.col("n_train") >= min_train) & F.col("n_positive").between(F.lit(1), F.col("n_train") - 1))
     spans = spans.orderBy("date").collect()
+    if kind == "logistic" and not options and (method == "sigmoid" or not calibrate):
+        return _together(staged, names, spans, calibrate)
     out = f"{session.run_dir(spark)}/direction-{uuid.uuid4().hex}"
 
     def one(k: int) -> bool:
@@ -148,6 +151,22 @@ def pooled_walk_forward(panel: DataFrame, kind: str = "logistic", horizon: int =
     return spark.read.parquet(out).select("ticker", "date", "prob_up", "actual")
 
 
+def _together(panel: DataFrame, names: list[str], spans: list, calibrate: bool) -> DataFrame:
+    """Predictions of the logistic models of all ``spans``; calibrated ones are the mean over parts, each model's curve fitted on
+    the part it did not see."""
+    parts = [max(2, min(3, s["n_positive"], s["n_train"] - s["n_positive"])) for s in spans]
+    parts = [k if calibrate and min(s["n_positive"], s["n_train"] - s["n_positive"]) >= 2 else 1 for k, s in zip(parts, spans, strict=True)]
+    each = [(s, k, part if k > 1 else -1) for s, k in zip(spans, parts, strict=True) for part in range(k)]
+    models = logistic.Models(names, logistic.day_numbers([s["train_start"] for s, _, _ in each]),
+                             logistic.day_numbers([s["train_end"] for s, _, _ in each]), np.array([k for _, k, _ in each]),
+                             np.array([part for _, _, part in each]), np.zeros((len(each), len(names))))
+    rows = logistic.training_rows(panel.dropna(subset=names), names)
+    models = logistic.fit(rows, models)
+    now = panel.where(F.col("label").isNotNull()).dropna(subset=names)
+    scored = logistic.score(now, [s["date"] for s, _, _ in each], models, "date", logistic.fit_curves(rows, models))
+    return scored.select("ticker", "date", F.col("score").alias("prob_up"), F.col("label").alias("actual"))
+
+
 def latest_rows(panel: DataFrame, as_of=None) -> DataFrame:
     warm = panel.dropna(subset=feature_names(panel))
     return indicators.latest(warm if as_of is None else warm.where(F.col("date") <= F.lit(as_of).cast("date")))
