@@ -720,7 +720,7 @@ def walk_forward_logistic(m):
 
 @query
 def per_stock_logistic(m):
-    return direction.per_stock_logistic(m.panel, step=21)
+    return direction.per_stock_logistic(m.panel)
 
 
 # ---- streams -----------------------------------------------------------------------------------
@@ -846,7 +846,7 @@ def sentiment_ablation_report(m):
 @query
 def pooled_direction(m):
     """Pooled calibrated forecasts at sampled dates, summarised."""
-    got = direction.pooled_walk_forward(m.panel, "logistic", step=252)
+    got = direction.pooled_walk_forward(m.panel, "logistic")
     return evaluation.prediction_summary(got)
 
 
