@@ -116,6 +116,46 @@ def test_licences_and_inheritance(spark):
     assert licences.scan_licences(docs.limit(0), licences.templates(spark), F.col("p")).collect() == []
 
 
+def _wrapped(text, width, mark):
+    out, line = [], mark
+    for word in text.split():
+        if len(line) + len(word) > width:
+            out.append(line)
+            line = mark
+        line += " " + word
+    return "\n".join([*out, line])
+
+
+def test_headers_and_whole_licence_files(spark):
+    filler = "\n\n".join(f"value {i} comes out of this function when nothing else is asked" for i in range(20))
+    body = max((n for k, n in licences.NOTICES if k == "MIT"), key=len).removeprefix("MIT License ")
+    gpl = next(n for k, n in licences.NOTICES if k == "GPL-3.0" and n.startswith("This program"))
+    apache = next(n for k, n in licences.NOTICES if k == "Apache-2.0" and "Unless" in n)
+    cut = [body[:body.index("The above")], body[body.index("The above"):body.index("THE SOFTWARE IS")], body[body.index("THE SOFTWARE IS"):]]
+    mit = "MIT License\n\nCopyright (c) 2020 Jane Q Holder and others\n\n" + "\n\n".join(_wrapped(c, 70, "") for c in cut)
+    rows = [("r/mit.txt", mit), ("r/gpl.py", _wrapped(gpl, 60, "#") + "\n\n" + filler), ("r/apache.c", _wrapped(apache, 60, " *") + "\n\n" + filler),
+            ("r/owned.txt", "Copyright 2020 Foo. All rights reserved.\n" + filler), ("r/plain.txt", filler), ("r/" + "x" * 9, "copyright" + " " * 200_000),
+            ("q/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + filler), ("q/a/b/c.py", filler)]
+    docs = spark.createDataFrame(rows, "p string, text string")
+    got = {r["doc_id"]: r for r in licences.scan_licences(docs, licences.templates(spark), F.col("p"), "p").collect()}
+    assert {p: got[p]["own"] for p, _ in rows} == {
+        "r/mit.txt": "MIT", "r/gpl.py": "GPL-3.0", "r/apache.c": "Apache-2.0", "r/owned.txt": "proprietary", "r/plain.txt": None,
+        "r/" + "x" * 9: None, "q/COPYING": "GPL-3.0", "q/a/b/c.py": None}
+    assert got["r/plain.txt"]["inherited"] == "MIT"  # the only file that is licence to a half
+    assert got["q/a/b/c.py"]["inherited"] == "GPL-3.0"  # named as a licence file
+
+
+def test_licences_of_repeated_rows(spark):
+    rows = [(1, "d/x", "Licensed under the Apache License, Version 2.0.\nthree more words"), (2, "d/y", "nothing of it\nhere"), (3, "d/z", None), (3, "d/z", "")]
+    schema = "doc_id long, p string, text string"
+    run = lambda r: sorted(map(tuple, licences.scan_licences(
+        spark.createDataFrame(r, schema), licences.templates(spark), F.col("p")).collect()), key=repr)
+    once, twice = run(rows), run(rows + rows[:2])
+    assert twice == sorted(once + [r for r in once if r[0] in (1, 2)], key=repr)
+    assert (1, 2, "Apache-2.0", None, "Apache-2.0") in once and (2, 2, None, "Apache-2.0", "Apache-2.0") in once
+    assert {r[1] for r in once if r[0] == 3} == {0, 1}
+
+
 # Packing
 
 def _counts(sizes):

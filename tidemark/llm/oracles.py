@@ -9,6 +9,9 @@ def _words(text):
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+_QUOTE = chr(39)
+_NOTICES = ", ".join(f"({i}, '{a}', '{b.replace(_QUOTE, 2 * _QUOTE)}')" for i, (a, b) in enumerate(NOTICES))
+
 ORACLES = {
     "op5_decontamination": rf"""
 with items as (select item_id, w, least(len(w), 10) as size from (select item_id, {_WORDS} as w from benchmark) where len(w) > 0),
@@ -40,35 +43,45 @@ from documents d left join (
          string_agg(cast(start as bigint) || ':' || cast(start + length(unit) as bigint), ',' order by nth) filter (gone) as removed,
          string_agg(unit, '' order by nth) filter (not gone) as kept
   from ranked group by 1) using (doc_id)""",
-    "op8_licences": f"""
-with notices(template, license, notice) as (values {", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(NOTICES))}),
+    "op8_licences": rf"""
+with notices(template, license, notice) as (values {_NOTICES}),
 own_terms as (select template, license, term, count(*) as tf from (select template, license, unnest({_words("notice")}) as term from notices) group by all),
-files as (select doc_id, source || '/' || lang as dir, string_split(text, chr(10)) as l from documents),
-lines as (select doc_id, nth, {_words("line")} as w
-          from (select doc_id, generate_subscripts(l, 1) as nth, unnest(l) as line from files)),
-held as (select *, list_intersect(list_distinct(w), (select list(distinct term) from own_terms)) as h from lines),
-size as (select count(*)::DOUBLE as n_lines from lines),
-seen as (select term, count(*) as df from (select unnest(h) as term from held) group by 1),
+files as (select row_number() over () as f, doc_id, source || '/' || lang || '/' || doc_id as path,
+                 regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'copyright[ ]{{0,3}}(\(c\))?[ ]{{0,3}}[0-9][^.\n]*[.]?', ' ', 'g') as t
+          from documents),
+placed as (select *, regexp_replace(path, '/?[^/]*$', '') as dir, regexp_split_to_array(t, '\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n') as b from files),
+parts as (select f, 0 as kind, generate_subscripts(l, 1) as nth, unnest(l) as part from (select f, string_split(t, chr(10)) as l from files)
+          union all select * from (select f, 1, generate_subscripts(b, 1), unnest(b) as part from placed) where contains(trim(part, chr(10)), chr(10))
+          union all select f, 2, 1, t from placed where len(b) > 1),
+units as (select f, kind, nth, {_words("part")} as w from parts),
+held as (select *, list_intersect(list_distinct(w), (select list(distinct term) from own_terms)) as h from units),
+size as (select count(*)::DOUBLE as n_lines from units where kind = 0),
+seen as (select term, count(*) as df from (select unnest(h) as term from held where kind = 0) group by 1),
 idf as (select term, ln((n_lines + 1) / (coalesce(df, 0) + 1)) as idf
         from (select distinct term from own_terms) left join seen using (term), size),
 vectors as (select template, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by template)) as v
             from own_terms join idf using (term)),
-maybe as (select doc_id, nth, len(w) as n, unnest(w) as term from held where len(w) > 0 and len(h) * 2 >= len(list_distinct(w))),
-weighed as (select doc_id, nth, n, term, count(*) * coalesce(any_value(idf), (select ln(n_lines + 1) from size)) as x
+maybe as (select f, kind, nth, len(w) as n, unnest(w) as term from held where len(w) > 0 and len(h) * 2 >= len(list_distinct(w))),
+weighed as (select f, kind, nth, n, term, count(*) * coalesce(any_value(idf), (select ln(n_lines + 1) from size)) as x
             from maybe left join idf using (term) group by all),
-norms as (select doc_id, nth, sqrt(sum(x * x)) as norm from weighed group by all),
-cosines as (select doc_id, nth, n, license, round(dot / norm, 6) as cosine
-            from (select doc_id, nth, n, template, license, sum(x * v) as dot from weighed join vectors using (term) group by all)
-            join norms using (doc_id, nth)),
-best as (select doc_id, nth, n, min((-cosine, license)) as b from cosines where cosine >= 0.8 group by all),
-own as (select doc_id, min((b[1], nth, b[2]))[3] as own, sum(n) as licensed from best group by 1),
-counted as (select doc_id, count(*) as n_lines, sum(len(w)) as n_words from lines group by 1),
-dirs as (select dir, min((-files, own))[2] as inherited
-         from (select dir, own, count(*) as files from files join own using (doc_id) join counted using (doc_id)
-               where licensed >= 0.5 * n_words group by all) group by 1)
-select f.doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, own, case when own is null then inherited end as inherited,
+norms as (select f, kind, nth, sqrt(sum(x * x)) as norm from weighed group by all),
+cosines as (select f, kind, nth, n, license, round(dot / norm, 6) as cosine
+            from (select f, kind, nth, n, template, license, sum(x * v) as dot from weighed join vectors using (term) group by all)
+            join norms using (f, kind, nth)),
+best as (select f, kind, nth, n, min((-cosine, license)) as b from cosines where cosine >= 0.8 group by all),
+own as (select f, min((b[1], kind, nth, b[2]))[4] as own,
+               greatest(coalesce(sum(n) filter (kind = 0), 0), coalesce(sum(n) filter (kind = 1), 0), coalesce(sum(n) filter (kind = 2), 0)) as licensed
+        from best group by 1),
+counted as (select f, count(*) as n_lines, sum(len(w)) as n_words from units where kind = 0 group by 1),
+dirs as (select dir as up, min((-files, own))[2] as dir_license
+         from (select dir, own, count(*) as files from placed join own using (f) join counted using (f)
+               where licensed >= 0.5 * n_words or regexp_matches(path, '(^|/)(?i:licen[sc]e|copying)([.][^/]*)?$') group by all) group by 1),
+above as (select dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') as up
+          from (select dir, unnest(range(0, len(string_split(dir, '/')) + 1)) as depth from (select distinct dir from placed))),
+near as (select dir, max((depth, dir_license))[2] as inherited from above join dirs using (up) group by 1)
+select p.doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, own, case when own is null then inherited end as inherited,
        coalesce(own, inherited) as license
-from files f left join counted using (doc_id) left join own using (doc_id) left join dirs using (dir)""",
+from placed p left join counted using (f) left join own using (f) left join near using (dir)""",
     "op11_infill": r"""
 with hashed as (select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h,
                        string_split(coalesce(text, ''), chr(10)) as pieces from documents),
