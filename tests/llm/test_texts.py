@@ -269,7 +269,28 @@ def test_repeats_stay_once(spark):
 
 
 def test_repeats_of_odd_tables(spark):
-    docs = corpus(spark, [(1, "equal rows of one document here."), (1, "equal rows of one document here."),
-                          (None, "no id has this unit of words."), (None, "no id has this unit of words. more")])
-    assert [r["n_removed"] for r in repeats.remove_repeats(docs).collect()] == [0] * 4
+    rows = [(1, "equal rows of one document here."), (1, "equal rows of one document here."),
+            (None, "no id has this unit of words."), (None, "no id has this unit of words. more"), (2, "no id has this unit of words, but two")]
+    docs = corpus(spark, rows)
+    got = [(r["doc_id"], r["text"], r["n_removed"]) for r in repeats.remove_repeats(docs).collect()]
+    # One of the equal rows stays whole, and one of those without an id.
+    assert sorted(g[1:] for g in got if g[0] == 1) == [("", 1), (rows[0][1], 0)]
+    assert sorted(n for i, _, n in got if i is None) == [0, 1] and (2, rows[4][1], 0) in got
+    assert {t for i, t, _ in got if i is None} in ({rows[2][1], "more"}, {rows[3][1], ""})
     assert repeats.remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_repeats_without_blanks(spark):
+    passage = "\u6211\u4eec\u5728\u8fd9\u91cc\u5199\u4e86\u4e00\u6bb5\u5f88\u957f\u7684\u6587\u5b57\u3002"
+    rows = [(1, passage + "\u7b2c\u4e00\u3002"), (2, "\u5f00\u59cb\u3002" + passage * 2), (3, "\u7b2c\u4e00\u3002")]
+    got = {r["doc_id"]: r["text"] for r in repeats.remove_repeats(corpus(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "\u5f00\u59cb\u3002", 3: rows[2][1]}  # short units stay
+
+
+def test_repeats_beyond_a_broadcast(spark, monkeypatch):
+    rows = [(i, f"this unit is in every document. own words of number {i} are here.") for i in range(20)]
+    want = sorted(map(tuple, repeats.remove_repeats(corpus(spark, rows)).select("doc_id", "text", "n_removed").collect()))
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", 3)
+    got = sorted(map(tuple, repeats.remove_repeats(corpus(spark, rows)).select("doc_id", "text", "n_removed").collect()))
+    assert got == want and sum(n for _, _, n in got) == 19
+

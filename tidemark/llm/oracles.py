@@ -30,12 +30,13 @@ select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as b
 from docs d left join hit_words using (doc_id) left join found using (doc_id)""",
     "op9_repeats": r"""
 with tiles as (select doc_id, generate_subscripts(u, 1) as nth, unnest(u) as unit
-               from (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?]+[ \t\n\r\f]+|\n[ \t\n\r\f]*)', '\1' || chr(1), 'g'), chr(1)),
+               from (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?]+[ \t\n\r\f]+|[\x{3002}\x{FF01}\x{FF1F}]+[ \t\n\r\f]*|\n[ \t\n\r\f]*)', '\1' || chr(1), 'g'), chr(1)),
                                                 lambda x: x <> '') as u from documents)),
 placed as (select *, sum(length(unit)) over (partition by doc_id order by nth) - length(unit) as start,
                   trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r\f]+', ' ', 'g'), ' ') as form
            from tiles),
-ranked as (select *, len(string_split(form, ' ')) >= 5 and row_number() over (partition by form order by doc_id, nth) > 1 as gone from placed)
+ranked as (select *, form <> '' and len(string_split(form, ' ')) + len(regexp_extract_all(form, '[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]{2}')) >= 5
+                     and row_number() over (partition by form order by doc_id, nth) > 1 as gone from placed)
 select d.doc_id, cast(coalesce(n_units, 0) as bigint) as n_units, cast(coalesce(n_removed, 0) as bigint) as n_removed,
        coalesce(removed, '') as removed, case when d.text is null then null else coalesce(kept, '') end as text
 from documents d left join (
