@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.common import ascii_lower
-from tidemark.llm.decontaminate import words_of
+from tidemark.llm.decontaminate import NOT_WORD, words_of
 from tidemark.session import stage
 
 #: Notices, headers, titles and bodies of common licences.
@@ -108,16 +108,15 @@ def scan_licences(docs: DataFrame, notices: DataFrame, path: Column, id_col: str
                     F.struct(F.lit(PARAGRAPH).alias("unit"), F.transform(
                         blocks, lambda b: F.when(F.contains(F.trim(b, F.lit("\n")), F.lit("\n")), b)).alias("parts")),
                     F.struct(F.lit(WHOLE).alias("unit"), F.when(F.size(blocks) > 1, F.array("_text")).alias("parts")))
-    units = (files.where(F.col("_text").isNotNull()).select("doc_id", "path", "_row", F.explode(kinds).alias("k"))
+    units = (files.select("doc_id", "path", "_row", F.explode(kinds).alias("k"))
              .select("doc_id", "path", "_row", "k.unit", F.posexplode("k.parts").alias("at", "line"))
              .where(F.col("line").isNotNull()))
-    units = units.withColumn("terms", words_of(F.col("line"))).drop("line")
+    units = units.withColumn("terms", F.array_remove(F.split("line", NOT_WORD), "")).drop("line")
     held = units.withColumn("held", F.filter(F.array_distinct("terms"), lambda t: t.isin(vocabulary)))
     # One pass: counts for every file, terms for the units that may be notices, sets of words held for df.
     marked = stage(held.select("doc_id", "path", "_row", "unit", "at", F.size("terms").alias("n"), F.when(
         F.col("unit") == LINE, F.col("held")).alias("held"), F.when(
-        F.size("held") * 2 >= F.size(F.array_distinct("terms")), F.col("terms")).alias("terms"))
-        .where((F.col("unit") == LINE) | F.col("terms").isNotNull()), "licence-marked")
+        F.size("held") * 2 >= F.size(F.array_distinct("terms")), F.col("terms")).alias("terms")), "licence-marked")
     lines = marked.where(F.col("unit") == LINE)
     # Rows that repeat id, path and text count their first lines; the rest of them is one file's.
     files_of = stage(lines.groupBy("doc_id", "path", "_row").agg(
