@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import session
 from tidemark.functions.draws import BITS, uniform_int
@@ -25,6 +25,11 @@ def _draws(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
+def _cell_of(number: str, cells: str) -> Column:
+    """The cell, of so many equal ones, that a random number falls into."""
+    return F.shiftright(F.shiftright(number, BITS - 31) * F.col(cells), 31)
+
+
 # ---- label permutation -------------------------------------------------------------------------
 
 def permutation_draws(scored: DataFrame, n: int = 3, draws: int = 100, seed: int = 0) -> DataFrame:
@@ -48,16 +53,19 @@ def permutation_draws(scored: DataFrame, n: int = 3, draws: int = 100, seed: int
     # One row per date.
     known = session.spread(base).join(F.broadcast(dates.select(DATE, "n1", "_cells")), DATE)
     number = uniform_int(F.lit(seed), F.col("draw"), F.col(DATE), F.col("ticker"))
-    drawn = (_draws(known, draws).withColumn("_u", number)
-             .withColumn("_cell", F.shiftright(F.shiftright("_u", BITS - 31) * F.col("_cells"), 31)))
+    drawn = _draws(known, draws).withColumn("_u", number).withColumn("_cell", _cell_of("_u", "_cells"))
     cells = drawn.groupBy("draw", DATE, "n1", "_cell").agg(
         F.count("*").alias("_held"), F.sum("avg_rank").alias("_ranks"), F.sum("_pick").alias("_picks"))
     before = F.coalesce(F.sum("_held").over(
         Window.partitionBy("draw", DATE).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = session.stage(cells.withColumn("_before", before).where(F.col("_before") < F.col("n1")), "cells")
     whole = cells.where(F.col("_before") + F.col("_held") <= F.col("n1")).select("draw", DATE, "_ranks", "_picks")
-    edge = cells.where(F.col("_before") + F.col("_held") > F.col("n1")).select("draw", DATE, "_cell", "_before")
-    inside = drawn.join(edge, ["draw", DATE, "_cell"])
+    # One row per date: the cell looked at in each draw, so the rows of a date are matched with it before they are drawn again.
+    edge = cells.where(F.col("_before") + F.col("_held") > F.col("n1")).groupBy(DATE).agg(
+        F.collect_list(F.struct("draw", F.col("_cell").alias("_edge"), "_before")).alias("_edges"))
+    again = known.join(F.broadcast(edge), DATE).select(
+        DATE, "ticker", "avg_rank", "_pick", "n1", "_cells", F.inline("_edges")).withColumn("_u", number)
+    inside = again.where(_cell_of("_u", "_cells") == F.col("_edge"))
     place = F.row_number().over(Window.partitionBy("draw", DATE).orderBy("_u", "ticker"))
     part = (inside.withColumn("_place", place).where(F.col("_before") + F.col("_place") <= F.col("n1"))
             .select("draw", DATE, F.col("avg_rank").alias("_ranks"), F.col("_pick").cast("bigint").alias("_picks")))
