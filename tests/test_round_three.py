@@ -45,3 +45,9 @@ def test_staged_bars_have_a_bucket_per_task(spark, warehouse, monkeypatch):
     assert indicators.add_returns(market.bars).rdd.getNumPartitions() == 21
     want = catalog.tables.load_prices(views.bars(spark, warehouse, 3))
     assert sorted(map(repr, market.bars.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_repeated_deliveries_are_dealt_by_the_number_of_rows(spark, warehouse, monkeypatch):
+    monkeypatch.setattr(views, "bar_tasks", lambda *_: 21)
+    frame = catalog.REGISTRY["deduplicated_technical_frame"](spark, warehouse)
+    assert frame.rdd.getNumPartitions() == 21
