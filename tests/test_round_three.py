@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from tidemark.operators import indicators
+from tidemark.operators import indicators, montecarlo
 from tidemark.plans import catalog
 from tidemark.sources import market_views as views
 
@@ -51,3 +51,30 @@ def test_repeated_deliveries_are_dealt_by_the_number_of_rows(spark, warehouse, m
     monkeypatch.setattr(views, "bar_tasks", lambda *_: 21)
     frame = catalog.REGISTRY["deduplicated_technical_frame"](spark, warehouse)
     assert frame.rdd.getNumPartitions() == 21
+
+
+def test_draws_are_not_joined_row_by_row(spark):
+    """Rows meet the cells looked at once a date, not once for every draw; labels of one class and missing ones included."""
+    days = [START + dt.timedelta(days=31 * k) for k in range(3)]
+    rows = [(d, f"T{i}", float(i % 17), None if i % 19 == 0 else (int(i % 3 == 0) if k else 1)) for k, d in enumerate(days) for i in range(200)]
+    scored = spark.createDataFrame(rows, "rebalance_date date, ticker string, score double, label int")
+    draws = montecarlo.permutation_draws(scored, 3, draws=5)
+    joins = [line for line in draws._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins
+    assert not [line for line in joins if "_cell#" in line]
+    import hashlib
+    known = [r for r in rows if r[3] is not None]
+    got = {r["draw"]: r["mean_auc"] for r in draws.collect()}
+    for draw in range(-1, 5):
+        aucs = []
+        for d in days:
+            own = [r for r in known if r[0] == d]
+            n1 = sum(r[3] for r in own)
+            if not 0 < n1 < len(own):
+                continue
+            number = lambda r: int(hashlib.md5(f"0|{draw}|{d}|{r[1]}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+            ones = [r for r in own if r[3] == 1] if draw < 0 else sorted(own, key=number)[:n1]
+            scores = [r[2] for r in own]
+            rank = {v: sum(x < v for x in scores) + (scores.count(v) + 1) / 2 for v in set(scores)}
+            aucs.append((sum(rank[r[2]] for r in ones) - n1 * (n1 + 1) / 2) / (n1 * (len(own) - n1)))
+        assert got[draw] == pytest.approx(sum(aucs) / len(aucs), abs=1e-12)
