@@ -2,9 +2,10 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 
-from tidemark.operators import indicators, montecarlo
+from tidemark.operators import indicators, logistic, montecarlo
 from tidemark.plans import catalog
 from tidemark.sources import market_views as views
 
@@ -78,3 +79,67 @@ def test_draws_are_not_joined_row_by_row(spark):
             rank = {v: sum(x < v for x in scores) + (scores.count(v) + 1) / 2 for v in set(scores)}
             aucs.append((sum(rank[r[2]] for r in ones) - n1 * (n1 + 1) / 2) / (n1 * (len(own) - n1)))
         assert got[draw] == pytest.approx(sum(aucs) / len(aucs), abs=1e-12)
+
+
+def _folds(fills):
+    """Three folds, the last two each without one of two parts."""
+    first = logistic.day_numbers([START])[0]
+    return logistic.Models(["a", "b", "c"], np.array([first, first + 3, first + 3]), np.array([first + 5, first + 11, first + 11]),
+                           np.array([1, 2, 2]), np.array([-1, 0, 1]), np.tile(fills, (3, 1)))
+
+
+def _fold_rows():
+    """Twelve days; ``a`` has NULL and NaN, ``b`` has one value up to the sixth day, ``c`` is never known there."""
+    rng = np.random.default_rng(5)
+    return [(START + dt.timedelta(days=d), f"T{t}", [None, float("nan"), *rng.normal(3, 2, 10).tolist()][t], .1 if d < 6 else float(rng.normal()),
+             None if d < 6 else float(t), int(rng.random() < .4)) for d in range(12) for t in range(12)]
+
+
+def _terms(z, y, theta):
+    """Loss, gradient and curvature of one model."""
+    odds = z @ theta
+    p = 1 / (1 + np.exp(-odds))
+    return np.concatenate([[np.logaddexp(0, odds).sum() - (y * odds).sum()], z.T @ (p - y), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+
+
+def _own_rows(staged, models, m, held=False):
+    """Rows of one model, filled, and their labels."""
+    rows = [r for r in staged if models.start[m] <= r["_day"] <= models.stop[m]
+            and (models.without[m] < 0 or (r["_draw"] % models.parts[m] == models.without[m]) == held)]
+    x = np.array([[r[f] for f in "abc"] for r in rows], "float64")
+    return np.where(np.isnan(x), models.fills[m], x), np.array([r["label"] for r in rows])
+
+
+def test_moments_of_all_models_come_from_one_grouped_pass(spark):
+    models = _folds([2.5, .1, 1.0])
+    rows = logistic.training_rows(spark.createDataFrame(_fold_rows(), "date date, ticker string, a double, b double, c double, label int"), ["a", "b", "c"])
+    moments, staged = logistic._Moments(rows, models), rows.collect()
+    for m in range(3):
+        x, y = _own_rows(staged, models, m)
+        mean, std = moments.spread(m)
+        assert moments.counts(m) == (len(y), y.sum())
+        assert mean == pytest.approx(x.mean(axis=0), abs=1e-12) and std == pytest.approx(x.std(axis=0), abs=1e-12)
+        if m:
+            assert moments.counts(m, True) == (len(_own_rows(staged, models, m, True)[1]), _own_rows(staged, models, m, True)[1].sum())
+    assert (moments.spread(0)[1][1:] <= 1e-12).all()  # no spread: no part in the model
+
+
+def test_a_step_of_all_models_is_one_product_of_shared_columns(spark):
+    models = _folds([2.5, .1, 1.0])
+    rows = logistic.training_rows(spark.createDataFrame(_fold_rows(), "date date, ticker string, a double, b double, c double, label int"), ["a", "b", "c"])
+    rng = np.random.default_rng(1)
+    theta, mean, scale = rng.normal(size=(3, 4)), rng.normal(size=(3, 3)), rng.uniform(.5, 2, (3, 3))
+    scale[0, 2] = 0
+    got = logistic._sums(rows, models, [0, 1, 2], False, logistic._linear_terms(theta, mean, scale, models.fills))
+    staged = rows.collect()
+    for m in range(3):
+        x, y = _own_rows(staged, models, m)
+        z = np.column_stack([np.ones(len(y)), (x - mean[m]) * scale[m]])
+        assert got[m] == pytest.approx(_terms(z, y, theta[m]), rel=1e-10, abs=1e-10)
+
+
+def test_passes_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    """A larger table gets more tasks, each of few days."""
+    monkeypatch.setattr(logistic, "TASK_ROWS", 4)
+    rows = logistic.training_rows(spark.createDataFrame(_fold_rows(), "date date, ticker string, a double, b double, c double, label int"), ["a", "b", "c"])
+    assert rows.inputFiles() and len(rows.inputFiles()) > 16
