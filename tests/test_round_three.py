@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from tidemark.operators import indicators, logistic, montecarlo
+from tidemark.operators import indicators, logistic, montecarlo, ranks
 from tidemark.plans import catalog
 from tidemark.sources import market_views as views
 
@@ -143,3 +143,25 @@ def test_passes_are_dealt_by_the_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr(logistic, "TASK_ROWS", 4)
     rows = logistic.training_rows(spark.createDataFrame(_fold_rows(), "date date, ticker string, a double, b double, c double, label int"), ["a", "b", "c"])
     assert rows.inputFiles() and len(rows.inputFiles()) > 16
+
+
+def test_ranks_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    """A task's share of the ranked rows does not follow from their shuffled bytes; ranks are those of a plain sort."""
+    monkeypatch.setattr(ranks, "TASK_ROWS", 50)
+    rows = [(i % 3 or None, f"T{i}", None if i % 41 == 0 else float("nan") if i % 97 == 5 else float(i * 37 % 101) if i % 5 else -0.0) for i in range(600)]
+    frame = spark.createDataFrame(rows, "g int, k string, v double")
+    for slices in (1, 2, 7, 64):
+        got = ranks.ranked(frame, ["g"], "v", ["k"], one_in=2, slices=slices)
+        known = [r for r in rows if r[2] is not None]
+        assert got.rdd.getNumPartitions() == -(-len(known) // 50)
+        order = lambda v: (v != v, v if v == v else 0.0)
+        for r in got.collect():
+            group = [order(x[2]) for x in known if x[0] == r["g"]]
+            assert (r["n"], r["below"], r["ties"]) == (len(group), sum(x < order(r["v"]) for x in group), group.count(order(r["v"])))
+
+
+def test_slices_are_found_without_a_comparison_per_cut_point(spark):
+    cuts = spark.createDataFrame([([1.0, 2.0, 4.0], v) for v in (0.0, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0)] + [(None, 1.0)], "_cuts array<double>, v double")
+    sliced = ranks._with_slice(cuts, "v", 5)
+    assert "lambda" not in sliced._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["_slice"] for r in sliced.collect()] == [0, 1, 2, 3, 4, 5, 6, 0]
