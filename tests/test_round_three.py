@@ -5,9 +5,11 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from tests.conftest import by, close_bars
+from tidemark import schemas
 from tidemark.operators import indicators, logistic, montecarlo, ranks
 from tidemark.plans import catalog
-from tidemark.sources import market_views as views
+from tidemark.sources import market_views as views, ticker_files
 
 START = dt.date(1995, 1, 2)
 
@@ -165,3 +167,21 @@ def test_slices_are_found_without_a_comparison_per_cut_point(spark):
     sliced = ranks._with_slice(cuts, "v", 5)
     assert "lambda" not in sliced._jdf.queryExecution().optimizedPlan().toString()
     assert [r["_slice"] for r in sliced.collect()] == [0, 1, 2, 3, 4, 5, 6, 0]
+
+
+def test_ticker_files_are_put_in_their_place_by_the_tasks(spark, tmp_path):
+    """No file waits for the driver to move it, all of a ticker's rows share one, and bars dealt by ticker are not shuffled again."""
+    names = [None, "", "A", "B/C D", "é=%"]
+    rows = [(t, dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(40) for t in names]
+    bars = schemas.conform(spark.createDataFrame(rows, "ticker string, date date, close double"), schemas.BARS)
+    path = str(tmp_path / "files")
+    ticker_files.write_ticker_files(bars.repartition(3, "ticker"), path, dealt=True)
+    found = sorted(str(p.relative_to(path)) for p in (tmp_path / "files").rglob("*") if p.is_file())
+    folders = {"ticker=A": 1, "ticker=B%2FC D": 1, "ticker=__HIVE_DEFAULT_PARTITION__": 2, "ticker=é%3D%25": 1}
+    held = [f.split("/bars-")[0] for f in found if f != "_SUCCESS"]  # NULL and the empty string may lie in two tasks
+    assert {f: held.count(f) for f in held}.keys() == folders.keys() and all(held.count(f) <= n for f, n in folders.items())
+    got = by(ticker_files.price_rows(spark, path).groupBy("ticker").count(), "ticker")
+    assert {k: v["count"] for k, v in got.items()} == {"A": 40, "B/C D": 40, "É=%": 40, "__HIVE_DEFAULT_PARTITION__": 80}
+    with pytest.raises(Exception, match="is there already"):
+        ticker_files.write_ticker_files(bars, path)
+    assert sorted(str(p.relative_to(path)) for p in (tmp_path / "files").rglob("*") if p.is_file()) == found

@@ -6,21 +6,28 @@ itself: files of other tickers are never opened. It delivers text; Spark's own f
 are those of the other scans. No row is lost: what cannot be read is NULL, and ``problem`` names the first such column.
 
 Files are opened by pyarrow, so any path it knows works (``s3://``, ``hdfs://``, local). A file is read as a stream.
+
+The source writes such files, too: tasks put them in their place themselves, so nothing is left to move for the driver, whose
+work would grow with the tickers.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition,
+                                    WriterCommitMessage)
 
 from tidemark import schemas
 from tidemark.functions.numeric import to_number
@@ -29,6 +36,8 @@ from tidemark.sources.tables import PRICE_FILE_COLUMNS, utc_date
 NAME = "ticker_files"
 TARGET_BYTES = 32 << 20
 ROWS_AT_ONCE = 8192
+NO_TICKER = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder name for NULL and the empty string
+_ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
 _FOLDER = re.compile(r"(?:^|/)ticker=([^/]+)/[^/]*$")
 
 
@@ -109,6 +118,49 @@ def open_path(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), re.sub(r"^file:(//)?", "", path)
 
 
+def folder_of(ticker: str | None) -> str:
+    """Folder of a ticker, with the characters escaped that Spark escapes, too."""
+    return f"ticker={_ESCAPED.sub(lambda c: f'%{ord(c[0]):02X}', ticker) if ticker else NO_TICKER}"
+
+
+class TickerFilesWriter(DataSourceArrowWriter):
+    """Rows (ticker, line) as one file per ticker and task; those of a ticker come one after another.
+
+    A file has the task's number in its name and gets it once it is whole: a task that runs again replaces it by the same
+    file. A run that fails deletes the folder, which must not have been there before.
+    """
+
+    def __init__(self, path: str, header: str):
+        self.path, self.header = path, header
+        system, root = open_path(path)
+        if system.get_file_info(root).type != pafs.FileType.NotFound:
+            raise ValueError(f"{path} is there already")
+        system.create_dir(root, recursive=True)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        system, root = open_path(self.path)
+        task = TaskContext.get().partitionId()
+        rows = (row for batch in iterator for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for ticker, lines in itertools.groupby(rows, lambda row: row[0] or None):
+            folder = f"{root}/{folder_of(ticker)}"
+            system.create_dir(folder, recursive=True)
+            part = f"{folder}/.{uuid.uuid4().hex}"
+            with system.open_output_stream(part) as f:
+                f.write(f"{self.header}\n".encode())
+                while some := list(itertools.islice(lines, ROWS_AT_ONCE)):
+                    f.write("".join([f"{line}\n" for _, line in some]).encode())
+            system.move(part, f"{folder}/bars-{task:05d}.csv")
+        return WriterCommitMessage()
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, root = open_path(self.path)
+        system.open_output_stream(f"{root}/_SUCCESS").close()
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, root = open_path(self.path)
+        system.delete_dir(root)
+
+
 class TickerFiles(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -121,6 +173,9 @@ class TickerFiles(DataSource):
     def reader(self, schema) -> TickerFilesReader:
         return TickerFilesReader(self.options["path"], int(self.options.get("target_bytes", TARGET_BYTES)))
 
+    def writer(self, schema, overwrite: bool) -> TickerFilesWriter:
+        return TickerFilesWriter(self.options["path"], ",".join(PRICE_FILE_COLUMNS))
+
 
 def price_rows(spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Every line of every file: the columns of bars, ``row`` (from 1, in its file) and ``problem``, NULL for a good row.
@@ -154,8 +209,12 @@ def file_report(rows: DataFrame) -> DataFrame:
         F.min(F.when(F.col("problem").isNotNull(), F.col("row"))).alias("first_problem"))
 
 
-def write_ticker_files(bars: DataFrame, path: str) -> None:
-    """Bars as one csv per ticker, below ``ticker=...``, in the columns that the source reads."""
+def write_ticker_files(bars: DataFrame, path: str, dealt: bool = False) -> None:
+    """Bars as one csv per ticker, below ``ticker=...``, in the columns that the source reads. ``dealt`` says that ``bars`` come from a
+    repartition by ticker, and spares another one."""
+    bars.sparkSession.dataSource.register(TickerFiles)
     named = bars.select("ticker", *[F.col(n).cast("string").alias(c) for c, n in PRICE_FILE_COLUMNS.items()])
-    (named.repartition("ticker").sortWithinPartitions("ticker", "Date")
-     .write.partitionBy("ticker").option("header", True).option("emptyValue", "").csv(path))
+    rows = named if dealt else named.repartition("ticker")
+    line = F.to_csv(F.struct(*PRICE_FILE_COLUMNS), {"emptyValue": ""})
+    (rows.sortWithinPartitions("ticker", "Date").select("ticker", line.alias("line"))
+     .write.format(NAME).mode("append").save(path))
