@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import session
-from tidemark.functions.draws import BITS, uniform_int
+from tidemark.functions.draws import digest_number, draw_digest, uniform_int
 from tidemark.functions.normal import normal_cdf, normal_quantile
 from tidemark.operators import ranks, selection
 from tidemark.operators.metrics import annualised, growth, nonzero_std
@@ -25,9 +25,19 @@ def _draws(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def _cell_of(number: str, cells: str) -> Column:
-    """The cell, of so many equal ones, that a random number falls into."""
-    return F.shiftright(F.shiftright(number, BITS - 31) * F.col(cells), 31)
+def _first_bits(digest: str) -> Column:
+    """The first 32 bits of a ``draw_digest``."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+
+
+def _cell_of(digest: str, cells: str) -> Column:
+    """The cell, of so many equal ones, that a random number falls into: its first 31 bits tell."""
+    return F.shiftright(F.shiftright(_first_bits(digest), 1) * F.col(cells), 31)
+
+
+def _cell_start(cell: str, cells: str) -> Column:
+    """The first 32 bits from which digests belong to the cell."""
+    return F.expr(f"2 * ((({cell}) * 2147483648L + {cells} - 1) div {cells})")
 
 
 # ---- label permutation -------------------------------------------------------------------------
@@ -51,10 +61,11 @@ def permutation_draws(scored: DataFrame, n: int = 3, draws: int = 100, seed: int
         F.count("*").alias("n"), F.sum("label").alias("n1"), F.sum("_pick").alias("n_picks"))
     dates = dates.withColumn("_cells", F.ceil(F.col("n") / ROWS_PER_CELL))
     # One row per date.
-    known = session.spread(base).join(F.broadcast(dates.select(DATE, "n1", "_cells")), DATE)
-    number = uniform_int(F.lit(seed), F.col("draw"), F.col(DATE), F.col("ticker"))
-    drawn = _draws(known, draws).withColumn("_u", number).withColumn("_cell", _cell_of("_u", "_cells"))
-    cells = drawn.groupBy("draw", DATE, "n1", "_cell").agg(
+    known = session.spread(base).join(F.broadcast(dates.select(DATE, "n1", "_cells")), DATE).withColumn(
+        "_name", F.concat_ws("|", F.col(DATE).cast("string"), "ticker"))  # the same in all draws
+    digest = draw_digest(F.lit(seed), F.col("draw"), F.col("_name"))
+    drawn = _draws(known.drop("ticker"), draws).withColumn("_u", digest).withColumn("_cell", _cell_of("_u", "_cells"))
+    cells = drawn.groupBy("draw", DATE, "n1", "_cells", "_cell").agg(
         F.count("*").alias("_held"), F.sum("avg_rank").alias("_ranks"), F.sum("_pick").alias("_picks"))
     before = F.coalesce(F.sum("_held").over(
         Window.partitionBy("draw", DATE).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -62,10 +73,13 @@ def permutation_draws(scored: DataFrame, n: int = 3, draws: int = 100, seed: int
     whole = cells.where(F.col("_before") + F.col("_held") <= F.col("n1")).select("draw", DATE, "_ranks", "_picks")
     # One row per date: the cell looked at in each draw, so the rows of a date are matched with it before they are drawn again.
     edge = cells.where(F.col("_before") + F.col("_held") > F.col("n1")).groupBy(DATE).agg(
-        F.collect_list(F.struct("draw", F.col("_cell").alias("_edge"), "_before")).alias("_edges"))
+        F.collect_list(F.struct("draw", _cell_start("_cell", "_cells").alias("_from"), (
+            _cell_start("_cell + 1", "_cells") - _cell_start("_cell", "_cells")).alias("_width"), "_before")).alias("_edges"))
     again = known.join(F.broadcast(edge), DATE).select(
-        DATE, "ticker", "avg_rank", "_pick", "n1", "_cells", F.inline("_edges")).withColumn("_u", number)
-    inside = again.where(_cell_of("_u", "_cells") == F.col("_edge"))
+        DATE, "ticker", "_name", "avg_rank", "_pick", "n1", F.inline("_edges")).withColumn("_digest", digest)
+    # A digest below the cell is a long way above it, modulo 32 bits: one comparison, as the filter makes a digest for each.
+    behind = F.pmod(_first_bits("_digest") - F.col("_from"), F.lit(1 << 32))
+    inside = again.where(behind < F.col("_width")).withColumn("_u", digest_number("_digest"))
     place = F.row_number().over(Window.partitionBy("draw", DATE).orderBy("_u", "ticker"))
     part = (inside.withColumn("_place", place).where(F.col("_before") + F.col("_place") <= F.col("n1"))
             .select("draw", DATE, F.col("avg_rank").alias("_ranks"), F.col("_pick").cast("bigint").alias("_picks")))
