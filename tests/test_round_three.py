@@ -5,8 +5,11 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.conftest import by, close_bars
 from tidemark import schemas
+from tidemark.functions import draws
 from tidemark.operators import indicators, logistic, montecarlo, ranks
 from tidemark.plans import catalog
 from tidemark.sources import market_views as views, ticker_files
@@ -185,3 +188,37 @@ def test_ticker_files_are_put_in_their_place_by_the_tasks(spark, tmp_path):
     with pytest.raises(Exception, match="is there already"):
         ticker_files.write_ticker_files(bars, path)
     assert sorted(str(p.relative_to(path)) for p in (tmp_path / "files").rglob("*") if p.is_file()) == found
+
+
+def test_cells_are_found_from_digests(spark):
+    """The first bits from a cell's start up to the next one's are those whose number falls into the cell, at any number of cells."""
+    df = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("d"), (1 + F.col("id") % 97 * (F.col("id") % 5) * 7919).alias("cells"))
+    number = draws.digest_number("d")
+    old = F.shiftright(F.shiftright(number, draws.BITS - 31) * F.col("cells"), 31)
+    got = df.select("d", (montecarlo._cell_of("d", "cells") == old).alias("same"), "cells", old.alias("cell")).select(
+        "same", "cell", montecarlo._first_bits("d").alias("bits"),
+        montecarlo._cell_start("cell", "cells").alias("a"), montecarlo._cell_start("cell + 1", "cells").alias("b")).collect()
+    assert all(r.same and r.a <= r.bits < r.b for r in got) and len({r.cell for r in got}) > 1000
+
+
+def test_a_second_draw_is_digested_once(spark):
+    """Rows outside the cell looked at have their digest made once, not for each side of a comparison, and no whole number read."""
+    scored = spark.range(400).select(F.lit("2020-01-31").cast("date").alias("rebalance_date"), F.col("id").cast("string").alias("ticker"),
+                                     (F.col("id") * 7 % 400).cast("double").alias("score"), (F.col("id") % 2).cast("int").alias("label"))
+    plan = montecarlo.permutation_draws(scored, 3, draws=5)._jdf.queryExecution().optimizedPlan().toString()
+    wanted = [line for line in plan.split("\n") if "Filter" in line and "_from" in line and "md5(" in line]
+    assert wanted and all(line.count("md5(") == 1 and ", 1, 15)" not in line for line in wanted)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 21, 252])
+def test_trailing_maximum_in_steps(spark, n):
+    bars = close_bars(spark, {t: [(i * k * 37) % 101 for i in range(300)] for t, k in (("A", 1), ("B", 5))})
+    bars = bars.withColumn("close", F.when(F.col("close") % 3 != 0, F.col("close")))
+    got = indicators.with_trailing_max(bars, "close", n, "high").withColumn("slid", F.max("close").over(indicators._trailing(n)))
+    assert got.where("not high <=> slid").count() == 0 and got.columns[:3] == bars.columns
+
+
+def test_the_high_of_a_year_needs_no_sliding_frame(spark):
+    bars = close_bars(spark, {"A": [1, 2, 3]})
+    plan = indicators.technical_frame(bars)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(close" not in plan
