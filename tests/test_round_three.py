@@ -59,6 +59,28 @@ def test_repeated_deliveries_are_dealt_by_the_number_of_rows(spark, warehouse, m
     assert frame.rdd.getNumPartitions() == 21
 
 
+@pytest.fixture(scope="module")
+def histories(spark, tmp_path_factory):
+    """Seven tickers, one of them NULL, whose 220 days are enough for forecasts of each stock."""
+    path = str(tmp_path_factory.mktemp("histories"))
+    rows = [(k or None, float(1 + i % 5), 0.01 * ((i * i * 7 + k * i + i // 3) % 11), 0.02, dt.datetime.combine(START + dt.timedelta(days=i), dt.time()))
+            for k in range(7) for i in range(220)]
+    spark.createDataFrame(rows, "l_suppkey bigint, l_quantity double, l_discount double, l_tax double, l_shipdate timestamp").write.parquet(f"{path}/lineitem.parquet")
+    return path
+
+
+@pytest.mark.parametrize("query", ["direction_baseline"])
+def test_what_reads_the_panel_keeps_its_tasks(spark, histories, monkeypatch, query):
+    """A task holds the bars of so many line items from the panel to the result, and rows do not depend on their number."""
+    results = []
+    for tasks in (21, 2):
+        monkeypatch.setattr(views, "bar_tasks", lambda *_, n=tasks: n)
+        got = catalog.REGISTRY[query](spark, histories)
+        assert got.rdd.getNumPartitions() == tasks
+        results.append(sorted(map(repr, got.collect())))
+    assert results[0] == results[1] and len({r.split("date")[0] for r in results[0]}) == 7
+
+
 def test_draws_are_not_joined_row_by_row(spark):
     """Rows meet the cells looked at once a date, not once for every draw; labels of one class and missing ones included."""
     days = [START + dt.timedelta(days=31 * k) for k in range(3)]
