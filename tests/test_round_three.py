@@ -69,7 +69,7 @@ def histories(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("query", ["direction_baseline", "direction_latest", "direction_panel"])
+@pytest.mark.parametrize("query", ["direction_baseline", "direction_latest", "direction_panel", "per_stock_logistic"])
 def test_what_reads_the_panel_keeps_its_tasks(spark, histories, monkeypatch, query):
     """A task holds the bars of so many line items from the panel to the result, and rows do not depend on their number."""
     results = []
