@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.test_texts import LOWER, _hits, corpus
+from tidemark import session
 from tidemark.llm import jaccard, neighbours, secrets
 from tidemark.llm.queries import QUERIES
 
@@ -250,3 +251,36 @@ def test_near_copies_keep_one_of_equal_rows_and_need_no_other_column(spark):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def _held_shuffles(spark):
+    return spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+
+def test_shuffle_files_end_with_the_write_they_are_for(spark):
+    """They stayed until the driver collected garbage: those of all tables of near_duplicates lay on disk at once."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        rows = spark.range(1000).withColumn("k", F.col("id") % 7)
+        held = _held_shuffles(spark)
+        sums = session.stage(rows.groupBy("k").agg(F.sum("id").alias("s")), "sums")
+        again = session.stage(sums.join(rows.repartition(3, "k"), "k").groupBy("s").count(), "again")
+        assert _held_shuffles(spark) <= held
+        assert spark.conf.get(setting) == "false"  # the session's own
+        assert sorted(r["count"] for r in again.collect()) == [142] * 1 + [143] * 6
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_regions_are_not_written_with_their_sets_again(spark, monkeypatch):
+    """Of a large region that single n-grams cut, the sets are written once; the rest of its tables hold ids."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [f"{passage} " + " ".join(f"w{rng.randint(0, 10 ** 6)}" for _ in range(30)) for _ in range(40)]
+    texts += [t + " more" for t in texts[:5]]
+    monkeypatch.setattr(jaccard, "TASK_SETS", 8)
+    written = []
+    monkeypatch.setattr(jaccard, "stage", lambda df, name: written.append((name, df.columns, (out := session.stage(df, name)).count())) or out)
+    _check(spark, texts)
+    assert [(name, rows) for name, columns, rows in written if {"key", "grams"} <= set(columns) and rows] == [("jaccard-large", 45)]

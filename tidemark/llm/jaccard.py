@@ -421,12 +421,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = [stage(_solved(sets_of(member.join(wide, "region", "left_anti")), percent), "jaccard-links")]
     if not wide.isEmpty():
         large = stage(sets_of(member.join(wide, "region", "left_semi")).dropDuplicates(["region", "key"]), "jaccard-large")
-        rarer = _by_rarest(large, percent)
-        large = stage(large.drop("region").join(rarer, "key"), "jaccard-larger")
-        sizes = stage(large.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("n")), "jaccard-regions")
+        # Regions are ids: they go to the sets where these are read, and only sets that are still to be cut are written again.
+        rarer = small_or_not(_by_rarest(large, percent))
+        sizes = stage(large.select("key", "n").join(rarer, "key").groupBy("region").agg(
+            F.count("*").alias("sets"), F.sum("n").alias("n")), "jaccard-regions")
         is_wide = (F.col("sets") > TASK_SETS) | ((F.col("n") > TASK_GRAMS) & (F.col("sets") > 2))
-        links.append(stage(_solved(large.join(sizes.filter(~is_wide).select("region"), "region"), percent), "jaccard-links"))
-        links = _cut(large.join(sizes.filter(is_wide).select("region"), "region").select("region", "key", "grams"), links, percent)
+        chosen = lambda which: large.drop("region").join(small_or_not(stage(
+            rarer.join(sizes.filter(which).select("region"), "region"), "jaccard-rarer")), "key").select("region", "key", "grams")
+        links.append(stage(_solved(chosen(~is_wide), percent), "jaccard-links"))
+        links = _cut(stage(chosen(is_wide), "jaccard-larger"), links, percent)
     all_links = links[0]
     for more in links[1:]:
         all_links = all_links.union(more)
