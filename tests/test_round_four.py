@@ -1,4 +1,4 @@
-"""The ablation fits both variants in the same passes over the same cells."""
+"""The ablation fits both variants in the same passes over the same cells, and its report realises returns once."""
 
 import numpy as np
 import pytest
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import by, day
 from tidemark import session
-from tidemark.operators import folds
+from tidemark.operators import asof, evaluation, folds
 from tidemark.plans import books, walk_forward
 
 FEATURES = ["a", "b", "mood"]
@@ -68,3 +68,30 @@ def test_medians_alone_are_those_of_the_statistics(panel, one_in):
     want = {(r.rebalance_date, r.feature): r.median for r in folds.fold_statistics(cells, FEATURES, bounds).collect() if r.median is not None}
     got = {(r.rebalance_date, r.feature): r.median for r in folds.fold_medians(cells, FEATURES, bounds, 8, one_in).collect()}
     assert got == want and len(got) >= 13
+
+
+def test_paired_reports_realise_returns_once(spark, monkeypatch):
+    dates = [day(0), day(31), day(62), day(93)]
+    rng = np.random.default_rng(5)
+    bars = spark.createDataFrame([(f"T{t}", day(i), float(100 + t + rng.integers(0, 9))) for t in range(6) for i in range(100)],
+                                 "ticker string, date date, close double")
+    scores = spark.createDataFrame([(d, f"T{t}", float(rng.normal()), v) for d in dates for t in range(6) for v in ("with_x", "without_x")],
+                                   "rebalance_date date, ticker string, score double, variant string")
+    labels = spark.createDataFrame([(d, f"T{t}", t % 2) for d in dates for t in range(6)], "rebalance_date date, ticker string, label int")
+    config = books.SelectionConfig(top_n=2, market="T0")
+    want = {side: by(books.report_table(books.selection_report(scores.where(f"variant = '{side}_x'").drop("variant"), labels, bars, config)),
+                     "section", "key", "metric") for side in ("with", "without")}
+    calls, real = [], asof.period_returns
+    monkeypatch.setattr(asof, "period_returns", lambda *a, **k: calls.append(a) or real(*a, **k))
+    got = by(books.paired_reports(scores, "x", labels, bars, config), "section", "key", "metric")
+    assert len(calls) == 1
+    for k, r in got.items():
+        for side in want:
+            assert r[f"{side}_value"] == pytest.approx(want[side][k].value, abs=1e-12) if want[side][k].value is not None else r[f"{side}_value"] is None
+    # Other dates in one variant: each has periods of its own.
+    calls.clear()
+    less = scores.where(F.col("rebalance_date").isin(dates[:3]) | (F.col("variant") == "with_x"))
+    got = by(books.paired_reports(less, "x", labels, bars, config), "section", "key", "metric")
+    assert len(calls) == 4 and evaluation.holding_periods(less).count() == 3
+    assert got["metrics", "strategy", "cumulative_return"].with_value == pytest.approx(
+        want["with"]["metrics", "strategy", "cumulative_return"].value, abs=1e-12)
